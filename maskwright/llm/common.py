@@ -77,6 +77,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+
+def space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return _SPACE[data]
+
+
 #: Bytes of text that are worked on at once; a longer document makes a slice of its own.
 SLICE_BYTES = 2 << 20
 
