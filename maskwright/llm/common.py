@@ -84,7 +84,7 @@ def space(data: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are worked on at once; a longer document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -96,7 +96,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     base = _BASE_INVERSE if inverse else _BASE
     have = _powers[base]
     if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
+        size = max(1 << (n - 1).bit_length(), 1 << 16)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)

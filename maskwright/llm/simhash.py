@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, shuffle_partitions
+from .common import bounded, materialize, shuffle_partitions, slices
 from .components import connected_components
 
 BITS = 3
@@ -59,7 +59,7 @@ def _votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def simhashes(texts: list[bytes | None], shingle: int, at_once: int = 1 << 17) -> np.ndarray:
+def simhashes(texts: list[bytes], shingle: int, at_once: int = 1 << 17) -> np.ndarray:
     """Fingerprints of UTF-8 texts. bytes.lower() and bytes.split() know ASCII only, as the rule does."""
     out = np.zeros(len(texts), np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -92,10 +92,12 @@ def simhashes(texts: list[bytes | None], shingle: int, at_once: int = 1 << 17) -
 
 def _hash_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist() if batch.num_rows else []
-        fp = simhashes(texts, shingle).view(np.int64)
         keep = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(fp)], names=[*keep, "fp"])
+        for at, to, data, bounds in slices(batch.column("text")):
+            raw = data.tobytes()
+            texts = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            fp = simhashes(texts, shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(at, to - at) for n in keep), pa.array(fp)], names=[*keep, "fp"])
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
