@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, licenses, sentencepiece, token_counts
+from . import classifier, fingerprints, licenses, sentencepiece, token_counts
 from .common import documents, new_path
 from .mixing import mix_shares
 from .quality import judged
@@ -32,6 +32,19 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited_fingerprints(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.to_hex(F.col("fp")).alias("fingerprint"),
+        fingerprints.to_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(documents(spark, sf_dir))
 
@@ -54,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
