@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,48 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class Manifests:
+    """Numbered manifest files in a shared folder; the highest number is the state that counts.
+
+    A manifest is created, never overwritten, so of two writers only one can publish a number.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, empty: dict):
+        self.spark, self.root, self.empty = spark, root, empty
+
+    def _at(self, name: str):  # noqa: ANN202
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def latest(self) -> tuple[int, dict]:
+        folder, fs = self._at("manifests")
+        numbers = [int(x.getPath().getName()) for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        if not numbers:
+            return 0, self.empty
+        path, fs = self._at(f"manifests/{max(numbers):08d}")
+        stream = fs.open(path)
+        try:
+            return max(numbers), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def publish(self, number: int, manifest: dict) -> None:
+        """Write a manifest beside its place, then move it there unless another writer was first."""
+        own, fs = self._at(f"pending-{uuid.uuid4().hex}")
+        stream = fs.create(own)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        place, _ = self._at(f"manifests/{number:08d}")
+        fs.mkdirs(place.getParent())
+        if fs.exists(place) or not fs.rename(own, place):
+            raise RuntimeError("another writer has committed meanwhile; apply the batch again")
+
+    def remove(self, path: str) -> None:
+        """Delete a table that no manifest names any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_words(text: Column) -> Column:
     """Number of white-space separated words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

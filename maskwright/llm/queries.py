@@ -12,6 +12,7 @@ from .common import documents, new_path
 from .mixing import mix_shares
 from .quality import judged
 from .simhash import near_duplicate_classes
+from .substrings import remove_repeats
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, cut = remove_repeats(documents(spark, sf_dir), new_path(spark, "substring-index"))
+    digest = cut.select(F.col("doc_id").alias("cut_id"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    joined = facts.join(digest, (F.col("doc_id") == F.col("cut_id")) & ~F.col("copy"), "left")
+    removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    kept = F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256"))
+    return joined.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }

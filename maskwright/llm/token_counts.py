@@ -15,7 +15,6 @@ out. An empty batch commits and adds nothing. Repeated rows in a batch count eac
 from __future__ import annotations
 
 import base64
-import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices
+from .common import Manifests, Words, materialize, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
@@ -38,39 +37,11 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):  # noqa: ANN202
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> tuple[int, dict]:
-        folder, fs = self._path("manifests")
-        if not fs.exists(folder):
-            return 0, {"tables": [], "batches": []}
-        numbers = [int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getLen()]
-        if not numbers:
-            return 0, {"tables": [], "batches": []}
-        path, fs = self._path(f"manifests/{max(numbers):08d}")
-        stream = fs.open(path)
-        try:
-            return max(numbers), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, number: int, manifest: dict) -> None:
-        """Write a manifest beside its place, then put it there unless another writer was first."""
-        own, fs = self._path(f"pending-{uuid.uuid4().hex}")
-        stream = fs.create(own)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        place, _ = self._path(f"manifests/{number:08d}")
-        fs.mkdirs(place.getParent())
-        if fs.exists(place) or not fs.rename(own, place):
-            raise RuntimeError("another writer has committed meanwhile; apply the batch again")
+        self.log = Manifests(spark, self.root, {"tables": [], "batches": []})
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit changes (source, lang, tokenizer, before, after); False if the batch was there already."""
-        number, manifest = self._manifest()
+        number, manifest = self.log.latest()
         if batch_id in manifest["batches"]:
             return False
         one = lambda c: F.col(c).isNotNull().cast("long")
@@ -79,21 +50,21 @@ class TokenRollup:
         )
         table = f"{self.root}/deltas/{uuid.uuid4().hex}"
         delta.coalesce(1).write.parquet(table)  # a row per group at most
-        self._publish(number + 1, {"tables": [*manifest["tables"], table], "batches": [*manifest["batches"], batch_id]})
+        self.log.publish(number + 1, {"tables": [*manifest["tables"], table], "batches": [*manifest["batches"], batch_id]})
         return True
 
     def totals(self) -> DataFrame:
-        tables = self._manifest()[1]["tables"]
+        tables = self.log.latest()[1]["tables"]
         schema = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
         rows = self.spark.read.schema(schema).parquet(*tables) if tables else self.spark.createDataFrame([], schema)
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """Fold the tables into one; batch ids stay known."""
-        number, manifest = self._manifest()
+        number, manifest = self.log.latest()
         table = f"{self.root}/deltas/{uuid.uuid4().hex}"
         self.totals().coalesce(1).write.parquet(table)
-        self._publish(number + 1, {"tables": [table], "batches": manifest["batches"]})
+        self.log.publish(number + 1, {"tables": [table], "batches": manifest["batches"]})
 
 
 @lru_cache(1)
