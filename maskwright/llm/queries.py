@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import classifier, fingerprints, licenses, sentencepiece, token_counts
 from .common import documents, new_path
+from .lines import dedup_lines
 from .mixing import mix_shares
 from .quality import judged
 from .simhash import near_duplicate_classes
@@ -28,6 +29,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.replay(documents(spark, sf_dir), new_path(spark, "token-rollup")).totals()
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), with_counts=True)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(documents(spark, sf_dir))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_sentencepiece": op7_sentencepiece,
