@@ -241,8 +241,8 @@ def decode(encoded: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_
     return encoded.select(*keep, "ids").mapInArrow(run, ", ".join([*_columns(encoded, keep), "text string"]))
 
 
-def round_trip(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode and decode every text: ``keep``, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256, exact."""
+def round_trip(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text: ``keep``, n_pieces, n_byte_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256, exact, and if asked for the ids."""
     model = _share(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +260,11 @@ def round_trip(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc
                 exact = [t == raw[a:b] for t, a, b in zip(decoded, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 sha = lambda b: hashlib.sha256(b).hexdigest()
                 own = [sha(ids[a:b].astype("<i4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, to - at) for c in keep), pa.array(counts), pa.array(n_bytes), pa.array(own), pa.array([sha(t) for t in decoded]), pa.array(exact)],
-                    names=[*keep, "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "exact"],
+                    [*(batch.column(c).slice(at, to - at) for c in keep), pa.array(counts), pa.array(n_bytes), pa.array(own), pa.array([sha(t) for t in decoded]), pa.array(exact), *lists],
+                    names=[*keep, "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "exact", *["ids"] * with_ids],
                 )
 
-    types = "n_pieces bigint, n_byte_pieces bigint, ids_sha256 string, decoded_sha256 string, exact boolean"
+    types = "n_pieces bigint, n_byte_pieces bigint, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*_columns(docs, keep), types]))
