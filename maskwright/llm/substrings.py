@@ -141,7 +141,7 @@ def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     tasks. A row without hashes is a run of windows already found to stand earlier.
     """
     met = np.zeros(0, np.uint64)  # hashes met in this task, sorted, by the documents that had them first
-    met_doc, met_start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    met_at = np.zeros(0, np.uint64)  # and where that was, as one number
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         lists = batch.column("anchors")
@@ -158,18 +158,17 @@ def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             doc, start, whole, anchor = ids[at + doc[hit]], start[hit], whole[hit], anchor[hit]
             if not len(doc):
                 continue
+            here = mix64(mix64(doc.astype(np.uint64)) + start.astype(np.uint64))
             before = np.minimum(np.searchsorted(met, whole), max(len(met) - 1, 0))
             known = met[before] == whole if len(met) else np.zeros(len(whole), bool)
             first = _first_of(whole)
-            same = (doc[first] == doc) & (start[first] == start)
-            later = ~known & ~same
+            later = ~known & (here[first] != here)
             if len(met):
-                later |= known & ((met_doc[before] != doc) | (met_start[before] != start))
+                later |= known & (met_at[before] != here)
             fresh = np.flatnonzero(~known & (first == np.arange(len(whole))))
-            merged = np.concatenate((met, whole[fresh]))
-            order = np.argsort(merged, kind="stable")
-            met = merged[order]
-            met_doc, met_start = np.concatenate((met_doc, doc[fresh]))[order], np.concatenate((met_start, start[fresh]))[order]
+            fresh = fresh[np.argsort(whole[fresh])]
+            into = np.searchsorted(met, whole[fresh])
+            met, met_at = np.insert(met, into, whole[fresh]), np.insert(met_at, into, here[fresh])
 
             a, n = _ranges(doc[later], start[later])
             told = [mix64(doc[later][a].astype(np.uint64) + start[later][a].astype(np.uint64)).view(np.int64), doc[later][a], start[later][a], start[later][a] + n]
