@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are cut where no piece can reach across.
 LONG = 48
 #: Units whose ids a worker keeps in memory.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 500_000
+BUCKET_BITS = 18
 
-_UNIT = re.compile(r"\n| *[^ \n]+| +")
 _NEVER = -1e18
 
 
@@ -54,6 +55,9 @@ class Pieces:
     first: np.ndarray
     size: np.ndarray
     neighbours: frozenset[str]  # pairs of characters that stand side by side in a piece
+    units: str  # pattern of the parts of a text that no piece reaches across
+    bucket: np.ndarray  # first key of each value of the leading BUCKET_BITS bits
+    deepest: int  # most keys of one bucket
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -75,50 +79,96 @@ def load(path: str = MODEL) -> Pieces:
     hashes = np.array([_hash(p) for p in texts], np.uint64)
     order = np.argsort(hashes)
     size = np.array([len(b) for b in spelled])
+    neighbours = frozenset(p[i : i + 2] for p in texts for i in range(len(p) - 1))
+    buckets = np.searchsorted(hashes[order] >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
     return Pieces(
         hashes[order], np.array([i for i, _ in texts.values()], np.int32)[order], np.array([s for _, s in texts.values()])[order], max(map(len, texts)), byte_ids,
-        np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size, frozenset(p[i : i + 2] for p in texts for i in range(len(p) - 1)),
+        np.frombuffer(b"".join(spelled), np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size, neighbours, _unit_pattern(neighbours), buckets[:-1], int(np.diff(buckets).max()),
     )
 
 
+def _unit_pattern(neighbours: frozenset[str]) -> str:
+    """Runs of marks (anything but letters) and runs of the rest, each with the spaces before it, and line ends.
+
+    Only marks count that no piece has beside another character than a mark or the space before it.
+    """
+    marks = {c for c in {*map(chr, range(33, 127)), *chain.from_iterable(neighbours)} if c != "\n" and unicodedata.category(c)[0] not in "LMZ"}
+    while out := {c for a, b in neighbours if a != " " and (a in marks) != (b in marks) for c in (a, b) if c in marks}:
+        marks -= out
+    inside = "".join(map(re.escape, sorted(marks)))
+    return rf"\n| *[{inside}]+| *[^ \n{inside}]+| +" if marks else r"\n| *[^ \n]+| +"
+
+
 def _hash(piece: str) -> np.uint64:
     codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     return mix64(np.array([np.sum(codes * powers(len(codes)))]) ^ np.uint64(len(codes) << 56))[0]
 
 
-def viterbi(units: list[str], pieces: Pieces) -> list[np.ndarray]:
-    """Ids of units of one length, all at once."""
+def _look_up(keys: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Place of each key among the sorted keys, -1 where it isn't one: a bucket by the leading bits, then its few keys in turn."""
+    at = pieces.bucket[(keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+    out = np.full(len(keys), -1, np.int64)
+    for step in range(pieces.deepest):
+        here = np.minimum(at + step, len(pieces.keys) - 1)
+        hit = pieces.keys[here] == keys
+        out[hit] = here[hit]
+    return out
+
+
+def viterbi(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units of one length, all at once: (ids of all units, one after the other; how many each has)."""
     length, rows = len(units[0]), len(units)
     codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(rows, length)
-    total = np.zeros((rows, length + 1), np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(length), axis=1, out=total[:, 1:])
+    total = np.zeros((length + 1, rows), np.uint64)
+    np.cumsum(((codes.astype(np.uint64) + np.uint64(1)) * powers(length)).T, axis=0, out=total[1:])
     back = powers(length, inverse=True)
     best = np.full((length + 1, rows), _NEVER)
     best[0] = 0
     start, chosen = np.zeros((length + 1, rows), np.int32), np.full((length + 1, rows), -1, np.int32)
     for end in range(1, length + 1):
+        best[end], start[end] = best[end - 1] - 1e12, end - 1  # any character can stand for itself, at a price
         for begin in range(max(0, end - pieces.longest), end):
-            key = mix64((total[:, end] - total[:, begin]) * back[begin] ^ np.uint64((end - begin) << 56))
-            at = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
-            found = pieces.keys[at] == key
-            score = best[begin] + pieces.scores[at]
-            if end - begin == 1:  # any character can stand for itself, at a price
-                score = np.where(found, score, best[begin] - 1e12)
-                better = score > best[end]
-            else:
-                better = found & (score > best[end])
-            best[end][better] = score[better]
-            start[end][better] = begin
-            chosen[end][better] = np.where(found, pieces.ids[at], -1)[better]
-    out: list[list[np.ndarray]] = [[] for _ in range(rows)]
+            key = mix64((total[end] - total[begin]) * back[begin] ^ np.uint64((end - begin) << 56))
+            at = _look_up(key, pieces)
+            hit = np.flatnonzero(at >= 0)
+            score = best[begin][hit] + pieces.scores[at[hit]]
+            better = score > best[end][hit]
+            hit = hit[better]
+            best[end][hit] = score[better]
+            start[end][hit] = begin
+            chosen[end][hit] = pieces.ids[at[hit]]
     end, live = np.full(rows, length), np.arange(rows)
+    of_row, ids, place = [], [], []
     while len(live):
-        ids, begins = chosen[end[live], live], start[end[live], live]
-        for r, i, b in zip(live.tolist(), ids.tolist(), begins.tolist(), strict=True):
-            out[r].append([i] if i >= 0 else pieces.byte_ids[list(units[r][b].encode())].tolist())
+        begins = start[end[live], live]
+        of_row.append(live), ids.append(chosen[end[live], live]), place.append(begins)
         end[live] = begins
         live = live[begins > 0]
-    return [np.array([i for part in reversed(x) for i in part], np.int32) for x in out]
+    of_row, ids, place = np.concatenate(of_row), np.concatenate(ids), np.concatenate(place)
+    order = np.lexsort((place, of_row))
+    of_row, ids, place = of_row[order], ids[order], place[order]
+    unknown = np.flatnonzero(ids < 0)
+    if len(unknown):
+        spelled = [pieces.byte_ids[list(chr(c).encode())] for c in codes[of_row[unknown], place[unknown]].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[unknown] = [len(x) for x in spelled]
+        first = np.cumsum(times) - times
+        of_row, ids = np.repeat(of_row, times), np.repeat(ids, times)
+        ids[ragged(first[unknown], times[unknown])] = np.concatenate(spelled)
+    return ids.astype(np.int32), np.bincount(of_row, minlength=rows)
+
+
+class _Numbers(dict):
+    """Numbers of units; a unit that is asked for the first time gets the next one and is put on a list."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.fresh.append(unit)
+        return number
 
 
 class Encoder:
@@ -126,12 +176,12 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.pattern = re.compile(pieces.units)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.blocks: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.number = _Numbers()
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _parts(self, unit: str) -> list[str]:
         pair = self.pieces.neighbours
@@ -139,39 +189,39 @@ class Encoder:
         return [unit[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, fresh: list[str]) -> None:
-        whole = {u: [u] if len(u) <= LONG else self._parts(u) for u in fresh}
-        by_length = defaultdict(set)
-        for parts in whole.values():
-            for p in parts:
-                by_length[len(p)].add(p)
-        ids: dict[str, np.ndarray] = {}
-        for length, same in by_length.items():
-            same = sorted(same)
-            step = max(1, (1 << 20) // (length + 1))
+        """Append the ids of units to what is known, in the order of their numbers."""
+        parts = [[u] if len(u) <= LONG else self._parts(u) for u in fresh]
+        flat = [p for x in parts for p in x]
+        length = np.array([len(p) for p in flat])
+        counts, blocks, members = np.zeros(len(flat), np.int64), [], []
+        for n in np.unique(length).tolist():
+            same = np.flatnonzero(length == n)
+            step = max(1, (1 << 18) // (n + 1))
             for a in range(0, len(same), step):
-                ids.update(zip(same[a : a + step], viterbi(same[a : a + step], self.pieces), strict=True))
-        for unit, parts in whole.items():
-            self.number[unit] = len(self.sizes)
-            self.blocks.append(ids[parts[0]] if len(parts) == 1 else np.concatenate([ids[p] for p in parts]))
-            self.sizes.append(len(self.blocks[-1]))
+                some = same[a : a + step]
+                ids, many = viterbi([flat[i] for i in some.tolist()], self.pieces)
+                counts[some] = many
+                blocks.append(ids), members.append(some)
+        members, ids = np.concatenate(members), np.concatenate(blocks)
+        begin = np.empty(len(flat), np.int64)  # where each part's ids begin in what Viterbi gave
+        begin[members] = np.cumsum(counts[members]) - counts[members]
+        self.flat = np.concatenate((self.flat, ids[ragged(begin, counts)]))
+        ends = np.cumsum(counts)[np.cumsum([len(x) for x in parts]) - 1]
+        self.sizes = np.concatenate((self.sizes, np.diff(ends, prepend=0)))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; how many each text has)."""
         if len(self.number) > KEPT_UNITS:
             self._forget()
-        split = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        fresh = {u for units in split for u in units} - self.number.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        number = self.number
-        used = np.array([number[u] for units in split for u in units], np.int64)
-        sizes = np.array(self.sizes, np.int64)
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.concatenate(self.blocks) if self.blocks else np.zeros(0, np.int32)
-        ids = flat[ragged(first[used], sizes[used])]
-        ends = np.concatenate(([0], np.cumsum(sizes[used])))
-        counts = np.diff(ends[np.concatenate(([0], np.cumsum([len(u) for u in split])))])
-        return ids, counts
+        split = [self.pattern.findall(" " + t) if t else [] for t in texts]
+        used = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+        if self.number.fresh:
+            self._learn(self.number.fresh)
+            self.number.fresh = []
+        first = np.cumsum(self.sizes) - self.sizes
+        ids = self.flat[ragged(first[used], self.sizes[used])]
+        ends = np.concatenate(([0], np.cumsum(self.sizes[used])))
+        return ids, np.diff(ends[np.concatenate(([0], np.cumsum([len(u) for u in split])))])
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, pieces: Pieces) -> list[bytes]:
