@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ----- fixed values ------------------------------------------------------------------------------
-SPACES = "              　"
-HYPHENS = "-‐‑‒–−"
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+HYPHENS = "-\u2010\u2011\u2012\u2013\u2212"
 DIGIT_LIKE = {"О": "0", "о": "0", "O": "0", "o": "0", "З": "3", "з": "3", "Ч": "4", "ч": "4", "І": "1", "і": "1", "б": "6"}
 STRONG_LIKE = "ОЗЧІOб"
 LATIN_TO_CYRILLIC = dict(zip("ABCEHKMOPTXYaeocpxykmbht", "АВСЕНКМОРТХУаеосрхукмвнт", strict=True))

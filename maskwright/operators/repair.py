@@ -20,7 +20,7 @@ from .patterns import detect_patterns
 from .resolve import overlaps
 
 # ----- fixed values ------------------------------------------------------------------------------
-BREAKS = "\n\t             "
+BREAKS = "\n\t\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 SPREAD_LETTERS = 4
 # ----- end of the fixed values -------------------------------------------------------------------
 
