@@ -27,6 +27,8 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct(), label
     )
     mark = None
+    if state.isEmpty():
+        return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         large = _stars(both(state)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _stars(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
