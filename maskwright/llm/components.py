@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, label: str = "components", most_round
     if state.isEmpty():
         return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
-        large = _stars(both(state)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _stars(both(state)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = _stars(large).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         state = materialize(small, label)
