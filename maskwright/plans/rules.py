@@ -66,8 +66,8 @@ class Rule:
 
     @property
     def pattern(self) -> str:
-        """Group 1 is what stands before the value, group 2 the value."""
-        return f"{self.flags}({self.before})({self.value}){self.after}"
+        """Groups: what stands before the value, the value, what follows."""
+        return f"{self.flags}({self.before})({self.value})({self.after})"
 
 
 _I = "(?iU)"
