@@ -11,6 +11,10 @@ UPLOAD_CAP = 50 << 20
 #: What is read and what values can be restored into.
 CAPABILITIES = {"read": (".docx", ".txt"), "restore_text": True, "restore_files": (".docx", ".xlsx", ".pptx")}
 
+#: The upper half of two one-byte alphabets, by the standard library's own tables.
+_UPPER_HALF = "".join(map(chr, range(128, 256)))
+_WINDOWS_1251 = bytes(range(128, 256)).decode("cp1251", errors="replace")
+
 
 def decode_text(content: Column) -> Column:
     """Text of bytes: UTF-16 or UTF-8 by their mark, UTF-8, else windows-1251; line ends become LF."""
@@ -20,7 +24,7 @@ def decode_text(content: Column) -> Column:
         F.when(head.startswith("EFBBBF"), F.regexp_replace(content.cast("string"), "^\\uFEFF", ""))
         .when(head.startswith("FFFE") | head.startswith("FEFF"), F.regexp_replace(F.decode(content, "UTF-16"), "^\\uFEFF", ""))
         .when(utf8, content.cast("string"))
-        .otherwise(F.decode(content, "windows-1251"))
+        .otherwise(F.translate(F.decode(content, "ISO-8859-1"), _UPPER_HALF, _WINDOWS_1251))
     )
     return F.regexp_replace(text, "\r\n?", "\n")
 
