@@ -324,12 +324,13 @@ def test_sentencepiece_round_trip(spark, docs, rows):
     assert back == {r.doc_id: r.text for r in rows}
 
 
-def test_classifier(spark, sf, rows):
+def test_classifier(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest table has 19 held-out labels, too few to tell
     got = {r.doc_id: r for r in queries.op9_quality_classifier(spark, sf).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(labels[i], r.predicted) for i, r in got.items() if i in labels and r.held_out]
-    assert sum(a == b for a, b in held) >= 0.85 * len(held)
+    assert len(held) > 60 and sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
 def test_machine_is_the_sum_over_pairs():
