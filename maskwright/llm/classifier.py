@@ -125,14 +125,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30).astype(np.float64)))
 
 
-def fit(rows: list[Features], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.1, ridge: float = 1e-4, seed: int = 5) -> Machine:
-    """AdaGrad on the logistic loss; rows: one Features of a single row each."""
+def fit(rows: list[Features], labels: np.ndarray, steps: int = 750, batch: int = 64, rate: float = 0.1, ridge: float = 1e-4, seed: int = 5) -> Machine:
+    """AdaGrad on the logistic loss, about ``steps`` steps however many rows there are; rows: one Features of a single row each."""
     rng = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, FACTORS)).astype(np.float32))
     if not len(rows):
         return Machine(0.0, machine.w, np.zeros_like(machine.v))
     gw, gv, gb = np.full(SIZE, 1e-6, np.float32), np.full((SIZE, FACTORS), 1e-6, np.float32), 1e-6
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // max(len(rows), batch))):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), batch):
             some = order[a : a + batch]
