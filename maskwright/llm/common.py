@@ -127,7 +127,7 @@ def space(data: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that are worked on at once; a longer document makes a slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -212,9 +212,11 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         texts = texts.combine_chunks()
     if not len(texts):
         return
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:  # filling copies the whole batch
+        texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
