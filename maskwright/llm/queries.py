@@ -30,7 +30,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), with_counts=True)
+    cleaned = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), with_counts=True, whole=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
