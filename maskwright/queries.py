@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks, folds, shapes
@@ -629,9 +629,12 @@ def noise_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def structural_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review records of the first words of documents: shapes and hidden context, no value."""
-    segments = texts.lines(table(spark, sf_dir, "documents")).where("seg_ord = 0")
-    marks = segments.select("doc_id", "seg_ord", F.lit(0).alias("start"), F.length(F.split_part("text", F.lit(" "), F.lit(1))).alias("end"), F.lit("missed").alias("kind"))
+    """Review records of every word of every line of documents: shapes and hidden context, no value."""
+    segments = texts.lines(table(spark, sf_dir, "documents"))
+    words = segments.select("doc_id", "seg_ord", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))
+    before = Window.partitionBy("doc_id", "seg_ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = words.withColumn("end", (F.sum(F.length("word")).over(before) + F.col("pos")).cast("int")).where("word <> ''")
+    marks = placed.select("doc_id", "seg_ord", (F.col("end") - F.length("word")).alias("start"), "end", F.lit("missed").alias("kind"))
     return review.build_records(marks, segments).select("doc_id", "kind", F.to_json("record").alias("record"))
 
 
@@ -639,3 +642,17 @@ def structural_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").where(F.col("text").rlike("[A-Za-z]"))
     return docs.select("doc_id", folds.plain_letters(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("word"))
+
+
+@query("select doc_id, word, shape, count(*) as n from (" + SQL["case_shapes"].replace("split_part(text, ' ', 1) as w", "unnest(string_split(text, ' ')) as w") + ") group by all")
+def case_shapes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shapes of all words of whole texts; case_shapes has the first words only, as its SQL states."""
+    words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", " ", -1)).alias("word"))
+    return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "word", shapes.case_shape(F.col("word")).alias("shape"), "n")
+
+
+@query("select doc_id, lower(w) as word, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from documents) group by all")
+def folded_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of Latin letters of whole texts, folded; folded_words has the first ones only, as its SQL states."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy("doc_id", folds.plain_letters(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
