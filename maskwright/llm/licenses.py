@@ -1,9 +1,9 @@
 """Operator 10: licence scans with a positional rare-token index.
 
 Templates are short statements by which texts declare a licence. The index holds, for each template,
-its ``PROBES`` words of the highest inverse document frequency in the corpus at hand, with their
-places in the template. A file's words are looked up; each hit votes for (template, shift), shift
-being where the template would begin. Where at least half of a template's probes agree on a shift,
+the ``PROBES`` words of its mandatory phrase of the highest inverse document frequency in the corpus
+at hand, with their places in the template. A file's words are looked up; each hit votes for (template, shift), shift
+being where the template would begin. Where all of a template's probes agree on a shift,
 the template is laid over the file there; it counts if its mandatory phrase stands in that very
 place and enough of its other words do too. Document frequencies come from a pass over all documents
 and number no more than the templates' words.
@@ -115,11 +115,11 @@ class Index:
             need = phrase.split()
             at = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
             self.needs.append((at, at + len(need)))
-            rare = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:PROBES]
-            self.probes.append(len(rare))
-            for i, w in enumerate(words):
-                if w in rare:
-                    postings[w].append((t, i))
+            rare = sorted(set(need), key=lambda w: (frequency.get(w, 0), w))[:PROBES]
+            places = [i for i in range(at, at + len(need)) if words[i] in rare]
+            self.probes.append(len(places))
+            for i in places:
+                postings[words[i]].append((t, i))
         keys = np.array([_hash_words(w)[0] for w in postings])
         order = np.argsort(keys)
         lists = [list(postings.values())[i] for i in order]
@@ -142,7 +142,7 @@ class Index:
         shift = np.repeat(hit, length) - self.place[which]
         votes, counts = np.unique(np.stack([doc, template, shift], axis=1), axis=0, return_counts=True)
         for (d, t, s), n in zip(votes.tolist(), counts.tolist(), strict=True):
-            if 2 * n >= self.probes[t]:
+            if n == self.probes[t]:
                 yield d, t, s
 
     def cover(self, d: int, t: int, s: int, words: Words, hashes: np.ndarray) -> float:
