@@ -64,6 +64,45 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key counts as hot if more than one in HOT_SHARE of all rows have it, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE, HOT_LEAST = 10_000, 1_000
+#: Bits of a bit table for each key, and bits of the largest table (16 MB).
+BITS_A_KEY, MOST_BITS = 16, 1 << 27
+
+
+def rejoin(rows: DataFrame, summed: DataFrame, key: str | list[str], count: str = "n") -> DataFrame:
+    """rows joined with a written table that has a row a key and ``count``, the number of rows of that key.
+
+    Hot keys, fewer than HOT_SHARE whatever the size, are broadcast, so no task gets all rows of one;
+    the rest are shuffled. The count column is dropped.
+    """
+    total = summed.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_LEAST, total // HOT_SHARE)
+    keys = [key] if isinstance(key, str) else key
+    hot, cold = summed.where(F.col(count) > limit).drop(count), summed.where(F.col(count) <= limit).drop(count)
+    if hot.isEmpty():
+        return rows.join(cold, keys)
+    hot = F.broadcast(hot)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def might_match(rows: DataFrame, keys: DataFrame, key: str, rest: bool = False) -> DataFrame:
+    """rows without most of those whose ``key`` isn't in ``keys``, a written table; none is lost that is in it. rest: just the other rows.
+
+    A table of bits, BITS_A_KEY for each key and MOST_BITS at most, is broadcast as 64-bit words; beyond
+    that size it lets more through, which the join behind it sorts out.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, 1 << max(10, (BITS_A_KEY * n - 1).bit_length() if n else 10))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(bits))
+    word = F.shiftright(place(key), 6)
+    table = keys.groupBy(word.alias("_bits_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`, 7), {bits}) & 63 as int))")).alias("_bits"))
+    set_ = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(`{key}`, 7), {bits}) & 63 as int)) & 1) = 1")
+    if rest:
+        return rows.join(F.broadcast(table), word == F.col("_bits_word"), "left").where(~F.coalesce(set_, F.lit(False))).drop("_bits_word", "_bits")
+    return rows.join(F.broadcast(table), word == F.col("_bits_word")).where(set_).drop("_bits_word", "_bits")
+
+
 class Manifests:
     """Numbered manifest files in a shared folder; the highest number is the state that counts.
 
