@@ -58,8 +58,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, cut = remove_repeats(documents(spark, sf_dir), new_path(spark, "substring-index"))
-    digest = cut.select(F.col("doc_id").alias("cut_id"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    joined = facts.join(digest, (F.col("doc_id") == F.col("cut_id")) & ~F.col("copy"), "left")
+    digest = cut.select("doc_id", "text_key", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    joined = facts.join(digest, ["doc_id", "text_key"], "left")
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256"))
     return joined.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
