@@ -6,7 +6,8 @@ their own; so are the parts of a long unit between neighbouring characters that
 side. Units that were not met before are encoded together: those of equal length advance one end
 position at a time, every start position's substring hashes are looked up in the sorted hashes of
 the pieces, and vectorised maxima keep the best score and the back pointer. Of equal scores the
-longer last piece wins, as in the public library's unigram encoder. Characters that are no piece
+longer last piece wins, as in the public library's unigram encoder. Parts of over ALONE characters are
+looked up by themselves, all positions at once. Characters that are no piece
 become their UTF-8 bytes' pieces.
 
 The best path maximises the sum of the scores that the model file holds. A file of another kind
@@ -35,6 +36,8 @@ from .common import mix64, powers, ragged, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are cut where no piece can reach across.
 LONG = 48
+#: Parts longer than this are encoded by themselves, all positions of one at once.
+ALONE = 256
 #: Units whose ids a worker keeps in memory.
 KEPT_UNITS = 500_000
 BUCKET_BITS = 18
@@ -147,15 +150,57 @@ def viterbi(units: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     of_row, ids, place = np.concatenate(of_row), np.concatenate(ids), np.concatenate(place)
     order = np.lexsort((place, of_row))
     of_row, ids, place = of_row[order], ids[order], place[order]
-    unknown = np.flatnonzero(ids < 0)
+    ids, times = _spelled(ids, codes[of_row, place], pieces)
+    return ids, np.bincount(of_row, times, minlength=rows).astype(np.int64)
+
+
+def _spelled(ids: np.ndarray, codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """ids with the bytes' pieces in place of -1 (no piece has the character ``codes``), and how many ids each became."""
+    times, unknown = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
     if len(unknown):
-        spelled = [pieces.byte_ids[list(chr(c).encode())] for c in codes[of_row[unknown], place[unknown]].tolist()]
-        times = np.ones(len(ids), np.int64)
+        spelled = [pieces.byte_ids[list(chr(c).encode())] for c in codes[unknown].tolist()]
         times[unknown] = [len(x) for x in spelled]
         first = np.cumsum(times) - times
-        of_row, ids = np.repeat(of_row, times), np.repeat(ids, times)
+        ids = np.repeat(ids, times)
         ids[ragged(first[unknown], times[unknown])] = np.concatenate(spelled)
-    return ids.astype(np.int32), np.bincount(of_row, minlength=rows)
+    return ids.astype(np.int32), times
+
+
+def viterbi_long(unit: str, pieces: Pieces) -> np.ndarray:
+    """Ids of one unit of any length, the same as ``viterbi`` gives.
+
+    All start positions' substrings of one size are looked up at once, so the numpy calls are as many
+    as the longest piece has characters; what is left for each position is the choice among its pieces.
+    """
+    n = len(unit)
+    codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
+    back = powers(n, inverse=True)
+    begins, ends, found = [], [], []
+    for size in range(1, min(pieces.longest, n) + 1):
+        key = mix64((total[size:] - total[:-size]) * back[: n - size + 1] ^ np.uint64(size << 56))
+        at = _look_up(key, pieces)
+        hit = np.flatnonzero(at >= 0)
+        begins.append(hit), ends.append(hit + size), found.append(at[hit])
+    begins, ends, found = np.concatenate(begins), np.concatenate(ends), np.concatenate(found)
+    order = np.lexsort((begins, ends))  # the longest piece of an end comes first, so it wins a tie
+    begins, found = begins[order], found[order]
+    first = np.searchsorted(ends[order], np.arange(1, n + 2)).tolist()
+    scores, begin_of, id_of = pieces.scores[found].tolist(), begins.tolist(), pieces.ids[found].tolist()
+    best, start, chosen = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    for end in range(1, n + 1):
+        top, from_, id_ = best[end - 1] - 1e12, end - 1, -1
+        for k in range(first[end - 1], first[end]):
+            score = best[begin_of[k]] + scores[k]
+            if score > top:
+                top, from_, id_ = score, begin_of[k], id_of[k]
+        best[end], start[end], chosen[end] = top, from_, id_
+    ids, place, end = [], [], n
+    while end:
+        ids.append(chosen[end]), place.append(start[end])
+        end = start[end]
+    return _spelled(np.array(ids[::-1], np.int32), codes[np.array(place[::-1])], pieces)[0]
 
 
 class _Numbers(dict):
@@ -194,7 +239,11 @@ class Encoder:
         flat = [p for x in parts for p in x]
         length = np.array([len(p) for p in flat])
         counts, blocks, members = np.zeros(len(flat), np.int64), [], []
-        for n in np.unique(length).tolist():
+        for i in np.flatnonzero(length > ALONE).tolist():
+            ids = viterbi_long(flat[i], self.pieces)
+            counts[i] = len(ids)
+            blocks.append(ids), members.append(np.array([i]))
+        for n in np.unique(length[length <= ALONE]).tolist():
             same = np.flatnonzero(length == n)
             step = max(1, (1 << 18) // (n + 1))
             for a in range(0, len(same), step):
