@@ -53,9 +53,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``materialize`` has written and nobody has removed.
+_written: list[str] = []
+
+
+def remove_written(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Delete the tables written so far, but for the one that ``but`` reads; for when nothing reads them any more."""
+    kept = {f.split("/")[-2] for f in but.inputFiles()} if but is not None else set()
+    for path in [p for p in _written if p.rpartition("/")[2] not in kept]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _written.remove(path)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most ``rows`` rows, else df as it is (shuffled join).
 
@@ -70,8 +84,8 @@ HOT_SHARE, HOT_LEAST = 10_000, 1_000
 BITS_A_KEY, MOST_BITS = 16, 1 << 27
 
 
-def rejoin(rows: DataFrame, summed: DataFrame, key: str | list[str], count: str = "n") -> DataFrame:
-    """rows joined with a written table that has a row a key and ``count``, the number of rows of that key.
+def rejoin(rows: DataFrame, summed: DataFrame, key: str | list[str], count: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with a written table that has a row a key and ``count``, the number of rows of that key.
 
     Hot keys, fewer than HOT_SHARE whatever the size, are broadcast, so no task gets all rows of one;
     the rest are shuffled. The count column is dropped.
@@ -81,9 +95,9 @@ def rejoin(rows: DataFrame, summed: DataFrame, key: str | list[str], count: str
     keys = [key] if isinstance(key, str) else key
     hot, cold = summed.where(F.col(count) > limit).drop(count), summed.where(F.col(count) <= limit).drop(count)
     if hot.isEmpty():
-        return rows.join(cold, keys)
+        return rows.join(cold, keys, how)
     hot = F.broadcast(hot)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
 
 
 def might_match(rows: DataFrame, keys: DataFrame, key: str, rest: bool = False) -> DataFrame:

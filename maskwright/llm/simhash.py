@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, shuffle_partitions, slices
+from .common import bounded, materialize, rejoin, shuffle_partitions, slices
 from .components import connected_components
 
 BITS = 3
@@ -191,12 +191,12 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, shingle: int = 3, bits: int = BITS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that links reach) of every document."""
     prints = materialize(with_fingerprint(docs.select("doc_id", "text"), shingle), "sim-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "sim-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "sim-distinct")
     component = connected_components(fingerprint_links(distinct.select("fp"), bits), "sim-components")
-    grouped = distinct.join(component, distinct.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    grouped = distinct.join(component, distinct.fp == component.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = materialize(grouped.join(least, "component").select("fp", "component_id"), "sim-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(grouped.join(least, "component").select("fp", "n", "component_id"), "sim-classes")
+    return rejoin(prints, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Manifests, Words, materialize, slices
+from .common import Manifests, Words, materialize, rejoin, slices
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
@@ -49,7 +49,7 @@ class TokenRollup:
             F.sum(one("after") - one("before")).alias("n_docs"), F.sum(F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("n_tokens")
         )
         table = f"{self.root}/deltas/{uuid.uuid4().hex}"
-        delta.coalesce(1).write.parquet(table)  # a row per group at most
+        delta.repartition(1).write.parquet(table)  # a row per group at most
         self.log.publish(number + 1, {"tables": [*manifest["tables"], table], "batches": [*manifest["batches"], batch_id]})
         return True
 
@@ -63,7 +63,7 @@ class TokenRollup:
         """Fold the tables into one; batch ids stay known."""
         number, manifest = self.log.latest()
         table = f"{self.root}/deltas/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(table)
+        self.totals().repartition(1).write.parquet(table)
         self.log.publish(number + 1, {"tables": [table], "batches": manifest["batches"]})
 
 
@@ -115,8 +115,8 @@ def replay(docs: DataFrame, root: str) -> TokenRollup:
     more; bpe_50k@1 is left as it is.
     """
     rows = materialize(counted(docs), "token-counts")
-    keys = rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(keys, "text_key", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
+    keys = materialize(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "token-copies")
+    marked = rejoin(rows, keys, "text_key", how="left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     marked = materialize(marked.select("source", "lang", "words", "word_like", "bpe", "copy"), "token-marked")
     rollup = TokenRollup(docs.sparkSession, root)
     rollup.apply("load", _changes(rows, {"words@1": (None, "words"), "bpe_50k@1": (None, "bpe")}))
