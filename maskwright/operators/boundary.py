@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.plans.rules import RULES, Rule
 
-from .multispan import seam_values
+from .multispan import value_hits
 from .normalize import source_end, source_start, with_view
 from .patterns import detect_patterns, pattern_hits
 
@@ -38,25 +35,13 @@ def windows(segments: DataFrame) -> DataFrame:
     return whole.withColumn("text", F.concat("tail", "sep", "head"))
 
 
-_SEAM = "array<struct<start:int,end:int,type:string>>"
-
-
-def _seam_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
-    for batch in batches:
-        found = []
-        for text, tail, sep in zip(batch.column("text").to_pylist(), batch.column("tail").to_pylist(), batch.column("sep").to_pylist(), strict=True):
-            found.append([{"start": a, "end": b, "type": t} for a, b, t in seam_values(text, len(tail), len(tail) + len(sep))])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "seam"])
-
-
 def boundary_entities(segments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Values that cross a seam, as two entities, one in each segment: doc_id, seg_ord, ent_seq, start, end, original_text, entity_type, detector, confidence."""
     wins = windows(segments)
-    seams = wins.where(F.length("sep") == 1).where(F.col("text").rlike(r"\d\D{0,3}\n\D{0,3}\d"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seams.schema)
-    broken = seams.mapInArrow(_seam_batches, f"{kept}, seam {_SEAM}").select(*wins.columns, F.explode("seam").alias("v")).select(*wins.columns, "v.start", "v.end", "v.type")
     views = with_view(wins)
+    seams = views.where(F.length("sep") == 1).where(F.col("text").rlike(r"\d\D{0,3}\n\D{0,3}\d"))
+    broken = seams.select(*wins.columns, "omap", F.explode(value_hits(F.col("norm"), seam=True)).alias("h"))
+    broken = broken.select(*wins.columns, source_start(F.col("h.start")).alias("start"), source_end(F.col("h.end")).alias("end"), F.col("h.type").alias("type"))
     plain = views.select(*wins.columns, "omap", F.explode(pattern_hits(F.col("norm"), rules)).alias("h"))
     plain = plain.select(*wins.columns, source_start(F.col("h.start")).alias("start"), source_end(F.col("h.end")).alias("end"), F.col("h.type").alias("type"))
     n_tail = F.length("tail")

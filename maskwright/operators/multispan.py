@@ -1,21 +1,21 @@
-"""Values that are written in several groups or broken by line ends.
+"""Values that are written in several groups or broken by line ends, as column expressions.
 
-Groups of digits with short gaps form chains (gaps and islands). A chain of 10 or 11 digits that
-begins with 7 or 8 is a phone; one that a line end breaks and that is exactly as long as an account
-or registry number, with its control digit and its anchor, is that number, unless one side of the
-break is a whole number by itself.
+Groups of digits with short gaps are islands, which one pattern finds whole. An island of 10 or 11
+digits that begins with 7 or 8 is a phone; one that a line end breaks and that is exactly as long as
+an account or registry number, with its control digit and its anchor, is that number, unless one side
+of the break is a whole number by itself. Birth dates may be broken by line ends too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators.normalize import DIGIT_LIKE, LATIN_TO_CYRILLIC, NEEDS_VIEW, normalize
+from maskwright.functions.checks import CHECKS
+from maskwright.operators.normalize import DIGIT_LIKE, source_end, source_start
+from maskwright.operators.patterns import has_anchor, occurrences
 from maskwright.plans.rules import RULES
 
 # ----- fixed values ------------------------------------------------------------------------------
@@ -30,124 +30,109 @@ BORN = (
 )
 # ----- end of the fixed values -------------------------------------------------------------------
 
-_GROUP = re.compile("[0-9" + "".join(DIGIT_LIKE) + "]+")
-_FOLD = str.maketrans(LATIN_TO_CYRILLIC)
-_DIGITS = str.maketrans(DIGIT_LIKE)
-
-
-def _anchor(type_: str) -> re.Pattern:
-    return re.compile(next((r.anchor for r in RULES if r.type == type_ and r.anchor), None) or ANCHORS[type_])
-
-
-_ANCHOR = {t: _anchor(t) for t in BROKEN}
-
-
-def valid(check: str | None, digits: str) -> bool:
-    """The control digits of a number, for numbers put together in Python."""
-    d = [int(c) for c in digits]
-    mod = lambda weights: sum(w * x for w, x in zip(weights, d, strict=False)) % 11 % 10
-    if check == "inn10":
-        return len(d) == 10 and mod((2, 4, 10, 3, 5, 9, 4, 6, 8)) == d[9]
-    if check == "inn12":
-        return len(d) == 12 and mod((7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) == d[10] and mod((3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) == d[11]
-    if check == "ogrn":
-        return len(d) in (13, 15) and int(digits[:-1]) % (len(d) - 2) % 10 == d[-1]
-    return True
-
-
-_CHECK = {t: next((r.check for r in RULES if r.type == t and r.check), None) for t in BROKEN}
-
-
-def chains(text: str, gaps: str) -> list[list[tuple[int, int]]]:
-    """Islands of digit groups: each gap has 1 to LONGEST_GAP characters, all of ``gaps``."""
-    out: list[list[tuple[int, int]]] = []
-    end = None
-    for m in _GROUP.finditer(text):
-        if not any(c.isdigit() for c in m[0]):
-            continue
-        between = text[end : m.start()] if end is not None else ""
-        if 0 < len(between) <= LONGEST_GAP and all(c in gaps for c in between):
-            out[-1].append(m.span())
-        else:
-            out.append([m.span()])
-        end = m.end()
-    return out
-
-
-def _read(text: str, groups: list[tuple[int, int]]) -> str:
-    return "".join(text[a:b] for a, b in groups).translate(_DIGITS)
-
-
-def broken_type(text: str, chain: list[tuple[int, int]]) -> str | None:
-    """The type whose one whole value the chain is."""
-    digits = _read(text, chain)
-    sides: list[list[tuple[int, int]]] = [[]]
-    for k, g in enumerate(chain):
-        if k and "\n" in text[chain[k - 1][1] : g[0]]:
-            sides.append([])
-        sides[-1].append(g)
-    context = re.search(r"[^\n\d]*$", text[max(0, chain[0][0] - 40) : chain[0][0]])[0].translate(_FOLD)
-    for type_, totals in BROKEN.items():
-        whole = lambda d: len(d) in totals and valid(_CHECK[type_], d)  # noqa: E731, B023
-        if whole(digits) and _ANCHOR[type_].search(context) and not (len(sides) > 1 and any(whole(_read(text, s)) for s in sides)):
-            return type_
-    return None
-
-
-def find(text: str) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
-    """(start, end, type, pieces) of values in a normalised text."""
-    out = []
-    for chain in chains(text, PHONE_GAPS):
-        digits = _read(text, chain)
-        if len(chain) > 1 and len(digits) in PHONE_DIGITS and digits[0] in "78":
-            a = chain[0][0] - (chain[0][0] > 0 and text[chain[0][0] - 1] == "+")
-            out.append((a, chain[-1][1], "PHONE", [(a, chain[0][1]), *chain[1:]]))
-    for chain in chains(text, LINE_GAPS):
-        if len(chain) > 1 and "\n" in text[chain[0][0] : chain[-1][1]] and (type_ := broken_type(text, chain)):
-            out.append((chain[0][0], chain[-1][1], type_, chain))
-    for pattern in BORN:
-        for m in re.finditer(pattern, text):
-            if "\n" in m[1]:
-                pieces = [p.span() for p in re.finditer(r"[^\n\r \t](?:[^\n\r]*[^\n\r \t])?", m[1])]
-                out.append((m.start(1), m.end(1), "BIRTHDATE", [(m.start(1) + a, m.start(1) + b) for a, b in pieces]))
-    return out
-
-
-def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, seg, text, norm, omap in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seg_ord", "text", "norm", "omap")), strict=True):
-            place = (lambda i: i) if omap is None else (lambda i: omap[i])  # noqa: B023
-            for k, (a, b, type_, pieces) in enumerate(find(norm)):
-                s, e = place(a), place(b - 1) + 1
-                spans = [{"s": place(x), "e": place(y - 1) + 1} for x, y in pieces] if len(pieces) > 1 else None
-                rows.append((doc, seg, 100_000_000 + k, s, e, text[s:e], type_, "regex", 1.0, spans))
-        names = ["doc_id", "seg_ord", "ent_seq", "start", "end", "original_text", "entity_type", "detector", "confidence", "spans"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+_LIKE = "".join(DIGIT_LIKE)
+_DIGIT = f"[0-9{_LIKE}]"
+#: A whole run of digits and letters that stand for digits, one real digit in it at least.
+_GROUP = rf"(?<!{_DIGIT})(?=[{_LIKE}]*+[0-9]){_DIGIT}++"
+_HITS = "array<struct<type:string,start:int,end:int,pieces:array<struct<s:int,e:int>>>>"
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def _island(gaps: str) -> str:
+    """A pattern of two groups or more; its groups are before, value and after, as ``occurrences`` needs."""
+    gap = "[" + "".join(map(re.escape, gaps)) + f"]{{1,{LONGEST_GAP}}}"
+    return f"()({_GROUP}(?:{gap}{_GROUP})+)()"
+
+
+_PHONE, _LINES = _island(PHONE_GAPS), _island(LINE_GAPS)
+_BORN = (BORN[0].replace(_BORN_DATE, f")({_BORN_DATE[1:-1]})(").replace("(?i)", "(?i)(", 1) + ")", BORN[1].replace("(?i)", "(?i)()", 1).replace(r"\s*(?:г", r"(\s*(?:г", 1) + ")")
+
+
+def _digits(value: Column) -> Column:
+    return F.translate(F.regexp_replace(value, f"[^0-9{_LIKE}]", ""), _LIKE, "".join(DIGIT_LIKE.values()))
+
+
+def _pieces(value: Column, pattern: str, between: str, shift: Column) -> Column:
+    """Places of the matches of ``pattern`` in a value that begins at ``shift``; ``between`` matches all that is between them."""
+    parts = F.regexp_extract_all(value, F.lit(f"{pattern}|{between}"), F.lit(0))
+    start = lambda i: shift + F.length(F.array_join(F.slice(parts, 1, i), ""))
+    places = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2))
+    return F.transform(places, lambda i: F.struct(start(i).alias("s"), (start(i) + F.length(F.get(parts, i))).alias("e")))
+
+
+def _groups(m: Column) -> Column:
+    return _pieces(m["value"], f"{_DIGIT}+", f"[^0-9{_LIKE}]+", m["m_start"])
+
+
+def _hit(kind: Column, start: Column, end: Column, pieces: Column) -> Column:
+    return F.struct(kind.alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"), pieces.cast(SPANS).alias("pieces"))
+
+
+def _broken_kind(text: Column, start: Column, digits: Column, sides: Column) -> Column:
+    """The type whose one whole value an island is; null for none."""
+
+    def kind(type_: str, totals: tuple[int, ...]) -> Column:
+        check = next((r.check for r in RULES if r.type == type_ and r.check), None)
+        anchor = next((r.anchor for r in RULES if r.type == type_ and r.anchor), None) or ANCHORS[type_]
+        whole = lambda d: F.length(d).isin(*totals) & (CHECKS[check](d) if check else F.lit(True))
+        return F.when(whole(digits) & has_anchor(text, start, anchor) & ~F.exists(sides, whole), type_)
+
+    return F.coalesce(*[kind(t, n) for t, n in BROKEN.items()])
+
+
+def phones(text: Column) -> Column:
+    digits = lambda m: _digits(m["value"])
+    fits = lambda m: F.length(digits(m)).isin(*PHONE_DIGITS) & F.substring(digits(m), 1, 1).isin("7", "8")
+
+    def hit(m: Column) -> Column:
+        plus = F.when((m["m_start"] > 0) & (F.substring(text, m["m_start"], F.lit(1)) == "+"), 1).otherwise(0)
+        pieces = _groups(m)
+        first = F.struct((F.get(pieces, 0)["s"] - plus).alias("s"), F.get(pieces, 0)["e"].alias("e"))
+        return _hit(F.lit("PHONE"), m["m_start"] - plus, m["m_start"] + F.length(m["value"]), F.concat(F.array(first), F.slice(pieces, F.lit(2), F.size(pieces))))
+
+    return F.transform(F.filter(occurrences(text, _PHONE), fits), hit)
+
+
+def broken_numbers(text: Column) -> Column:
+    at_line_end = F.filter(occurrences(text, _LINES), lambda m: F.contains(m["value"], F.lit("\n")))
+    read = F.transform(at_line_end, lambda m: F.struct(m["m_start"].alias("m_start"), m["value"].alias("value"), _digits(m["value"]).alias("digits"), F.transform(F.split(m["value"], "\n"), _digits).alias("sides")))
+    hits = F.transform(read, lambda m: _hit(_broken_kind(text, m["m_start"], m["digits"], m["sides"]), m["m_start"], m["m_start"] + F.length(m["value"]), _groups(m)))
+    return F.filter(hits, lambda h: h["type"].isNotNull())
+
+
+def birth_dates(text: Column, broken_only: bool = True) -> Column:
+    def of(pattern: str) -> Column:
+        start = lambda m: m["m_start"] + F.length(m["before"])
+        found = occurrences(text, pattern)
+        found = F.filter(found, lambda m: F.contains(m["value"], F.lit("\n"))) if broken_only else found
+        return F.transform(found, lambda m: _hit(F.lit("BIRTHDATE"), start(m), start(m) + F.length(m["value"]), _pieces(m["value"], r"[^\n\r \t](?:[^\n\r]*[^\n\r \t])?", r"[\n\r \t]+", start(m))))
+
+    return F.concat(*map(of, _BORN))
+
+
+def value_hits(text: Column, seam: bool = False) -> Column:
+    """array<struct<type, start, end, pieces>> of a normalised text. seam: numbers and dates only, dates on one line too."""
+    parts = [broken_numbers(text), birth_dates(text, broken_only=not seam)]
+    return F.concat(*[p.cast(_HITS) for p in (parts if seam else [phones(text), *parts])])
 
 
 def detect_multispan(views: DataFrame) -> DataFrame:
-    """Entities with ``spans`` from views (doc_id, seg_ord, text, norm, omap). Only segments with digits on both sides of a gap go to Python."""
+    """Entities with ``spans``, the places of their pieces, from views (doc_id, seg_ord, text, norm, omap).
+
+    Only segments with digits on both sides of a gap are looked at further.
+    """
     may = views.where(F.col("norm").rlike(r"\d[^\w]{1,5}\d"))
-    slim = may.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("seg_ord").cast("int").alias("seg_ord"), "text", "norm", "omap")
-    return slim.mapInArrow(
-        _find_batches,
-        "doc_id bigint, seg_ord int, ent_seq bigint, start int, end int, original_text string, entity_type string, detector string, confidence double, spans array<struct<s:int,e:int>>",
-    )
-
-
-def seam_values(window: str, tail_end: int, head_start: int) -> list[tuple[int, int, str]]:
-    """(start, end, type) of values that cross the seam of a window (tail of one segment, head of the next)."""
-    text, at = normalize(window) if re.search(NEEDS_VIEW.replace(r"\p{Cf}", "​­⁠").replace(r"\p{L}", r"[^\W\d_]"), window) else (window, list(range(len(window))))
-    out = []
-    for chain in chains(text, LINE_GAPS):
-        a, b = at[chain[0][0]], at[chain[-1][1] - 1] + 1
-        if len(chain) > 1 and a < tail_end and b > head_start and (type_ := broken_type(text, chain)):
-            out.append((a, b, type_))
-    for pattern in BORN:
-        for m in re.finditer(pattern, text):
-            a, b = at[m.start(1)], at[m.end(1) - 1] + 1
-            if a < tail_end and b > head_start:
-                out.append((a, b, "BIRTHDATE"))
-    return out
+    slim = may.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("seg_ord").cast("int").alias("seg_ord"), "text", "omap", F.posexplode(value_hits(F.col("norm"))).alias("pos", "h"))
+    start, end = source_start(F.col("h.start")), source_end(F.col("h.end"))
+    spans = F.transform("h.pieces", lambda p: F.struct(source_start(p["s"]).cast("int").alias("s"), source_end(p["e"]).cast("int").alias("e")))
+    return slim.select(
+        "doc_id", "seg_ord", (F.lit(100_000_000) + F.col("pos")).cast("long").alias("ent_seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("original_text"),
+        F.col("h.type").alias("entity_type"), F.lit("regex").alias("detector"), F.lit(1.0).alias("confidence"), F.when(F.size("h.pieces") > 1, spans).alias("spans"),
+    )
+
+
+def find(text: str, spark: SparkSession | None = None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
+    """(start, end, type, pieces) of the values in one normalised text; for tables there is ``detect_multispan``."""
+    spark = spark or SparkSession.active()
+    rows = spark.createDataFrame([(text,)], "text string").select(F.inline(value_hits(F.col("text")))).collect()
+    return [(r.start, r.end, r.type, [(p.s, p.e) for p in r.pieces]) for r in rows]

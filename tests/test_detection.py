@@ -59,11 +59,15 @@ def test_offsets_count_code_points(spark):
     assert [(r.start, r.end, r.original_text) for r in found.collect()] == [(3, 9, "a@b.ru")]
 
 
-def test_multispan_guards():
+def test_multispan_guards(spark):
     assert multispan.find("р/с 4070281090\n0000012345")[0][:3] == (4, 25, "BANK_ACCOUNT")
     assert multispan.find("ОГРН 1027700132195\n15") == []  # one side is whole
     assert multispan.find("ИНН 77070\n83894") == []  # wrong control digit
     assert multispan.find("8 (900) 123-45-67")[0][2] == "PHONE"
+    assert multispan.find("+7 900 1234567")[0] == (0, 14, "PHONE", [(0, 2), (3, 6), (7, 14)])  # the sign belongs to it
+    assert multispan.find("Дата рождения: 01.\n02.1980")[0] == (15, 26, "BIRTHDATE", [(15, 18), (19, 26)])
+    assert multispan.find("ИНН 77070\n83893") == [(4, 15, "INN", [(4, 9), (10, 15)])]
+    assert multispan.find("слоО 12") == [] and multispan.find("") == []
 
 
 def entity(i, start, end, kind, detector, text=None):
