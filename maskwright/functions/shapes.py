@@ -6,15 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that may stand in a record's context as they are.
-FUNCTION_WORDS = ("и", "в", "на", "с", "по", "от", "до", "за", "из", "к", "у", "о", "об", "для", "при", "или", "the", "of", "and", "to", "in", "for", "by", "on", "at", "with")
+FUNCTION_WORDS = tuple(
+    """
+    в во на за по из от до у к с со о об обо при над под перед про через для без
+    между около возле вдоль мимо после кроме сверх ввиду вследствие
+    и а но да или либо ни то же ли бы не нет что чтобы как когда если хотя так тоже
+    также затем потом далее выше ниже именно только лишь даже уже ещё был была было
+    были быть есть является являются
+    г гор с д дом кв корп стр ул пер пр просп пл наб ш обл р-н респ край окр
+    инн кпп огрн огрнип бик кс рс окпо окато оквэд снилс
+    паспорт серия номер выдан выдано код подразделения
+    тел телефон факс почта email e-mail сайт
+    договор приложение пункт п пп статья ст лицо лицом стороны сторона
+    адрес зарегистрирован проживает место рождения дата рожд рождения
+    руб рублей коп копеек ндс годовых дней месяцев лет процентов
+    ооо оао зао ао пао ип нко ано фгуп мбу гбу
+    """.split()
+)
 HIDDEN = "·"
 
 
 def case_shape(value: Column) -> Column:
-    """upper, lower, title, mixed or no_letters."""
+    """upper, lower, title (every word that begins with a letter begins with a capital), mixed or no_letters."""
     letters = F.regexp_replace(value, r"[^\p{L}]", "")
-    title = F.concat(F.upper(F.substring(letters, 1, 1)), F.lower(F.substring(letters, F.lit(2), F.length(letters))))
-    return F.when(letters == "", "no_letters").when((letters == title) & (F.length(letters) > 1), "title").when(letters == F.upper(letters), "upper").when(letters == F.lower(letters), "lower").otherwise("mixed")
+    small_first = value.rlike(r"(?:^|\s)(?!\p{Lu})\p{L}")
+    return F.when(letters == "", "no_letters").when(letters == F.upper(letters), "upper").when(letters == F.lower(letters), "lower").when(~small_first, "title").otherwise("mixed")
 
 
 def token_shapes(value: Column) -> Column:
@@ -24,14 +40,14 @@ def token_shapes(value: Column) -> Column:
         words,
         lambda w: F.struct(
             F.length(w).alias("length"), case_shape(w).alias("shape"), w.rlike(r"\d").alias("digit"), w.rlike(r"[A-Za-z]").alias("latin"), w.rlike("[Ѐ-ӿ]").alias("cyrillic"),
-            w.rlike(r"[^\p{L}\d]").alias("punct"), w.rlike(r"^\p{Lu}\.$").alias("initial"),
+            w.rlike(r"[^\p{L}\d]").alias("punct"), w.rlike(r"^[А-ЯЁA-Z]\.(?:[А-ЯЁA-Z]\.?)*$").alias("initial"),
         ),
     )
 
 
 def whitelisted_context(text: Column, start: Column, end: Column, words: int = 4) -> Column:
     """Up to four words on each side; those that aren't function words are hidden."""
-    split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    split = lambda t: F.regexp_extract_all(t, F.lit(r"(?U)[\w-]+"), F.lit(0))
     hide = lambda ws: F.transform(ws, lambda w: F.when(F.lower(w).isin(*FUNCTION_WORDS), F.lower(w)).otherwise(HIDDEN))
     left, right = split(F.substring(text, F.lit(1), start)), split(F.substring(text, end + 1, F.length(text)))
     return F.struct(hide(F.slice(F.reverse(left), 1, words)).alias("left_nearest_first"), hide(F.slice(right, 1, words)).alias("right"))

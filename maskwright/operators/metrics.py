@@ -175,14 +175,63 @@ def leak_status(entity_type: Column, text: Column, anonymous: Column) -> Column:
     return (
         F.when(entity_type == "BIRTHDATE", leak_birthdate(text, anonymous)["status"])
         .when(entity_type == "EMAIL", leak_email(text, anonymous)["status"])
+        .when(entity_type == "ADDRESS", leak_address(text, anonymous)["status"])
         .when(entity_type.isin(*NUMERIC), leak_numeric(text, anonymous)["status"])
         .otherwise(leak_words(text, anonymous)["status"])
     )
 
 
-def leak_by_position(open_pieces: Column) -> Column:
-    """none, partial or full digits in the open pieces (array<string>) against the value's own."""
-    return F.aggregate(open_pieces, F.lit(0), lambda acc, p: acc + F.length(F.regexp_replace(p, r"\D", "")))
+def leak_by_position(value: Column, open_pieces: Column) -> Column:
+    """none, partial or full: how many of a value's digits stand in the pieces (array<string>) that no mask covers.
+
+    A value without digits leaks in full with any open piece.
+    """
+    digits = lambda t: F.length(F.regexp_replace(t, r"\D", ""))
+    core, seen = digits(value), digits(F.array_join(open_pieces, ""))
+    return F.when(core == 0, F.when(F.size(open_pieces) > 0, "full").otherwise("none")).when(seen == 0, "none").when(seen >= core, "full").otherwise("partial")
+
+
+def uncovered_pieces(gold: DataFrame, masks: DataFrame) -> DataFrame:
+    """gold (doc_id, start, end, type) with piece_start and piece_end: the parts that no mask covers, one row each.
+
+    They are what lies between the islands of the masks: a value's start, then the end of each island
+    it meets, up to the next island's start or the value's end.
+    """
+    key = ["doc_id", "start", "end", "type"]
+    union = islands(masks.select("doc_id", "start", "end")).select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    mine = (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))
+    cuts = gold.select(*key).distinct().join(union, "doc_id", "left").where(mine | F.col("_s").isNull())
+    bare = gold.select(*key).distinct().join(cuts.select(*key).distinct(), key, "left_anti").select(*key, F.array().cast("array<struct<_s:int,_e:int>>").alias("met"))
+    met = cuts.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_s").cast("int").alias("_s"), F.col("_e").cast("int").alias("_e"))))).alias("met"))
+    both = met.unionByName(bare)
+    from_ = F.concat(F.array("start"), F.transform("met", lambda m: m["_e"]))
+    to = F.concat(F.transform("met", lambda m: m["_s"]), F.array("end"))
+    pieces = F.filter(F.zip_with(from_, to, lambda a, b: F.struct(a.alias("piece_start"), b.alias("piece_end"))), lambda p: p["piece_start"] < p["piece_end"])
+    return both.select(*key, F.inline(pieces))
+
+
+def adjacent_open(core: Column, runs: Column) -> Column:
+    """Length of the longest part of a number that neighbouring open runs of digits (array<string>, two digits or more each) spell together."""
+    joined = F.flatten(F.transform(runs, lambda r, i: F.transform(F.sequence(F.lit(1), F.size(runs) - i), lambda n: F.array_join(F.slice(runs, i + 1, n), ""))))
+    return F.coalesce(F.array_max(F.transform(F.filter(joined, lambda j: (j != "") & F.contains(core, j)), F.length)), F.lit(0))
+
+
+def round_trip_kept(original: Column, restored: Column) -> Column:
+    """Whether a mask gave its value back: equal, white space aside."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return F.coalesce(bare(original) == bare(restored), F.lit(False))
+
+
+def leak_address(text: Column, anonymous: Column) -> Column:
+    """struct<status, fragments>: an address leaks by its postal index, or by a place's name of four letters or the better part of it."""
+    open_text = plain_letters(anonymous)
+    names = F.filter(words(text), lambda w: F.length(w) >= 4)
+    head = lambda w: F.substring(w, F.lit(1), F.greatest(F.lit(6), F.ceil(F.length(w) * 0.75).cast("int")))
+    hit = F.filter(names, lambda w: F.contains(open_text, w) | ((F.length(w) > 6) & F.contains(open_text, head(w))))
+    index = F.filter(F.split(digit_runs(text), " "), lambda d: (F.length(d) == 6) & F.array_contains(F.split(digit_runs(anonymous), " "), d))
+    left = F.array_sort(F.array_distinct(F.concat(hit, index)))
+    full = (F.size(names) > 0) & (F.size(hit) == F.size(names))
+    return F.struct(F.when(full, "full").when(F.size(left) > 0, "partial").otherwise("none").alias("status"), left.alias("fragments"))
 
 
 def totals_by_type(results: DataFrame) -> DataFrame:
@@ -234,7 +283,7 @@ def single_guard(gold: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def violations(results: DataFrame) -> DataFrame:
-    """Rows that contradict themselves: a leak of 8 without one of 6, full without a fragment, found without a mask."""
+    """Rows that contradict themselves, with the rules they break: a leak of 8 without one of 6, exact without found, an end before the start."""
     rules = {"leak8_without_leak6": "leak8 and not leak6", "exact_not_found": "exact and not found", "negative_length": "end < start"}
     found = F.filter(F.array(*[F.when(F.expr(sql), name) for name, sql in rules.items()]), lambda x: x.isNotNull())
     return results.withColumn("rules", found).where(F.size("rules") > 0)

@@ -17,16 +17,29 @@ TRIMMED = " \t\r\n"
 SEPARATORS = TRIMMED + ",;.:|«»\"'()"
 ENTITY = (
     "doc_id bigint, seg_ord int, ent_seq bigint, start int, end int, original_text string, entity_type string, detector string, confidence double, "
-    "group_key string, canonical string"
+    "group_key string, canonical string, spans array<struct<s:int,e:int>>"
 )
 SHADOW = "array<struct<start:int,end:int,original_text:string,entity_type:string,detector:string,confidence:double,group_key:string,canonical:string>>"
 RESOLVED = f"{ENTITY}, shadowed {SHADOW}"
-NAMES = [f.split()[0] for f in ENTITY.split(", ")]
+_TYPES = [tuple(f.split(" ", 1)) for f in ENTITY.split(", ")]
+NAMES = [n for n, _ in _TYPES]
 
 
 def as_entities(df: DataFrame) -> DataFrame:
-    """df with the columns of an entity table; those it lacks are null."""
-    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(f.split()[1]).alias(n) for n, f in zip(NAMES, ENTITY.split(", "), strict=True)])
+    """df with the columns of an entity table; those it lacks are null. spans: the pieces of a value in several parts, else null."""
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in _TYPES])
+
+
+def entity_spans(entities: DataFrame) -> DataFrame:
+    """entities with ``pieces``: spans where a value has several parts, else its one interval."""
+    own = F.array(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))
+    return entities.withColumn("pieces", F.coalesce("spans", own))
+
+
+def _with_shadow(df: DataFrame) -> DataFrame:
+    """An entity table with ``shadowed``, what a value has displaced so far."""
+    columns = [(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in [*_TYPES, ("shadowed", SHADOW)]]
+    return df.select(*columns)
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -81,7 +94,7 @@ def _left_over(loser: dict, winner: dict) -> list[dict]:
         s += len(piece) - len(piece.lstrip(TRIMMED))
         piece = piece.strip(TRIMMED)
         if piece.strip(SEPARATORS):
-            out.append(loser | {"start": s, "end": s + len(piece), "original_text": piece, "group_key": None, "canonical": None})
+            out.append(loser | {"start": s, "end": s + len(piece), "original_text": piece, "group_key": None, "canonical": None, "spans": None})
     return out
 
 
@@ -123,6 +136,8 @@ def _rows(frame: pd.DataFrame) -> list[dict]:
         r["start"], r["end"] = int(r["start"]), int(r["end"])
         if r.get("shadowed") is not None:
             r["shadowed"] = [dict(x) for x in r["shadowed"]]
+        if r.get("spans") is not None:
+            r["spans"] = [dict(x) for x in r["spans"]]
         out.append(r)
     return out
 
@@ -142,8 +157,8 @@ def resolve_overlaps(entities: DataFrame) -> DataFrame:
 
     A segment's values are handled by one task; they number as many as fit a paragraph.
     """
-    marked = in_conflict(as_entities(entities))
-    calm = marked.where(~F.col("conflict")).drop("conflict").withColumn("shadowed", F.lit(None).cast(SHADOW))
+    marked = in_conflict(_with_shadow(entities))
+    calm = marked.where(~F.col("conflict")).drop("conflict")
     torn = marked.where("conflict").drop("conflict").groupBy("doc_id", "seg_ord").applyInPandas(_settle_group, RESOLVED)
     return calm.unionByName(torn)
 

@@ -50,18 +50,21 @@ def number_missed(missed: DataFrame, session: DataFrame) -> DataFrame:
     return missed.join(named, ["doc_id", "entity_type", "value"])
 
 
-def apply_marks(tokened: DataFrame, marks: DataFrame) -> DataFrame:
+def apply_marks(tokened: DataFrame, marks: DataFrame, segments: DataFrame) -> DataFrame:
     """Tokened entities after false_mask, type and boundary marks, of which the last per place counts.
 
+    A moved mask takes its value from the segment's text, so restoring gives back what it covers now.
     marks: doc_id, seg_ord, start, end, kind, created_at, new_type, new_start, new_end.
     """
     key = ["doc_id", "seg_ord", "start", "end"]
     last = marks.groupBy(*key).agg(F.max_by(F.struct("kind", "new_type", "new_start", "new_end"), "created_at").alias("m"))
-    joined = tokened.join(last, key, "left").where(~F.coalesce(F.col("m.kind") == "false_mask", F.lit(False)))
+    texts = segments.select("doc_id", "seg_ord", F.col("text").alias("_text"))
+    joined = tokened.join(last, key, "left").join(texts, ["doc_id", "seg_ord"], "left").where(~F.coalesce(F.col("m.kind") == "false_mask", F.lit(False)))
     moved = F.col("m.kind") == "boundary"
+    value = F.when(moved, F.substring(F.col("_text"), F.col("m.new_start") + 1, F.col("m.new_end") - F.col("m.new_start")))
     return joined.select(
         *[
-            {"entity_type": F.coalesce(F.when(F.col("m.kind") == "type", F.col("m.new_type")), F.col("entity_type")).alias("entity_type"), "start": F.coalesce(F.when(moved, F.col("m.new_start")), F.col("start")).alias("start"), "end": F.coalesce(F.when(moved, F.col("m.new_end")), F.col("end")).alias("end")}.get(c, F.col(c))
+            {"original_text": F.coalesce(value, F.col("original_text")).alias("original_text"), "entity_type": F.coalesce(F.when(F.col("m.kind") == "type", F.col("m.new_type")), F.col("entity_type")).alias("entity_type"), "start": F.coalesce(F.when(moved, F.col("m.new_start")), F.col("start")).alias("start"), "end": F.coalesce(F.when(moved, F.col("m.new_end")), F.col("end")).alias("end")}.get(c, F.col(c))
             for c in tokened.columns
         ]
     )

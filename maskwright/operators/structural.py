@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.lexicon import COLLECTIVE_WORDS, ORG_FORMS, ROLE_WORDS, Lexicon
 
-from .resolve import gap
-
 SCHEMA = "doc_id bigint, seg_ord int, ent_seq bigint, start int, end int, original_text string, entity_type string, detector string, confidence double, group_key string, canonical string"
 COLUMNS = [f.split()[0] for f in SCHEMA.split(", ")]
 
@@ -67,6 +65,9 @@ def find_people(text: str, lex: Lexicon) -> list[tuple[int, int, tuple[str, ...]
     words = list(_WORD.finditer(text))
     k = 0
     while k < len(words):
+        if words[k][0].isupper() and 1 < len(words[k][0]) <= 3:  # a legal form or another abbreviation
+            k += 1
+            continue
         run = [words[k]]
         while len(run) < 4 and k + len(run) < len(words) and re.fullmatch(r"[ \t]+", text[run[-1].end() : words[k + len(run)].start()] or "x"):
             run.append(words[k + len(run)])
@@ -129,7 +130,7 @@ class Book:
 def _document(frame: pd.DataFrame, lex: Lexicon) -> pd.DataFrame:
     frame = frame.sort_values("seg_ord")
     segments = list(zip(frame["seg_ord"], frame["norm"], frame["text"], frame["omap"], strict=True))
-    doc = frame["doc_id"].iloc[0]
+    doc, source_of = frame["doc_id"].iloc[0], dict(zip(frame["seg_ord"], frame["text"], strict=True))
     rows: list[tuple] = []
     taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
 
@@ -140,8 +141,7 @@ def _document(frame: pd.DataFrame, lex: Lexicon) -> pd.DataFrame:
             return
         taken[seg].append((a, b))
         s, e = (a, b) if omap is None else (int(omap[a]), int(omap[b - 1]) + 1)
-        source = next(t for o, _, t, _ in segments if o == seg)
-        rows.append((doc, seg, 200_000_000 + len(rows), s, e, source[s:e], kind, "ner", 1.0, group, canonical))
+        rows.append((doc, seg, 200_000_000 + len(rows), s, e, source_of[seg][s:e], kind, "ner", 1.0, group, canonical))
 
     orgs: dict[str, tuple[float, str]] = {}
     for seg, norm, _, omap in segments:
@@ -175,8 +175,14 @@ def _document(frame: pd.DataFrame, lex: Lexicon) -> pd.DataFrame:
 
 
 def detect_structural(views: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """ORG and PERSON entities of views (doc_id, seg_ord, text, norm, omap), one task per document."""
+    """ORG and PERSON entities of views (doc_id, seg_ord, text, norm, omap), one task per document.
+
+    Python sees only documents with a legal form or a capital Cyrillic letter before a small one or a
+    dot: without one nothing is learned, so there is nothing to look for.
+    """
     slim = views.select("doc_id", "seg_ord", "text", "norm", "omap")
+    may = slim.where(F.col("norm").rlike(rf"[А-ЯЁ](?:[а-яё]|\.)|(?iu){_FORM}")).select("doc_id").distinct()
+    slim = slim.join(may, "doc_id", "left_semi")
     return slim.groupBy("doc_id").applyInPandas(partial(_document, lex=lexicon or Lexicon()), SCHEMA)
 
 
@@ -198,7 +204,7 @@ def _barriers(frame: pd.DataFrame) -> pd.DataFrame:
 
 def detect_barriers(views: DataFrame) -> DataFrame:
     """ROLE_TERM (a quoted alias behind "named" or "hereinafter") and COLLECTIVE (a form before a plural) entities."""
-    slim = views.select("doc_id", "seg_ord", "text", "norm", "omap")
+    slim = views.select("doc_id", "seg_ord", "text", "norm", "omap").where(F.col("norm").rlike(rf"(?iu)именуем|далее|дальнейшем|{_FORM}"))
     return slim.mapInPandas(lambda frames: map(_barriers, frames), SCHEMA)
 
 
@@ -211,20 +217,21 @@ def suppress_inside_organisations(entities: DataFrame) -> DataFrame:
     return entities.join(orgs, inside & entities.entity_type.isin("ADDRESS", "PERSON") & subset, "left_anti")
 
 
-def merge_compounds(entities: DataFrame, most_gap: int = 3) -> DataFrame:
-    """A sole trader's form directly before a person, up to ``most_gap`` characters apart, makes one ORG of both; the person stays in ``shadowed``.
+def merge_compounds(entities: DataFrame, segments: DataFrame, most_gap: int = 3) -> DataFrame:
+    """A sole trader's form directly before a person, up to ``most_gap`` characters apart, makes one ORG of both.
 
-    entities as from ``resolve.as_entities`` with forms as ORG values "ИП".
+    entities as from ``resolve.as_entities``; the person stays in ``shadowed``, so a profile that masks
+    people but no organisations gets the name back.
     """
-    sole = F.lower("original_text").isin("ип", "индивидуальный предприниматель") & (F.col("entity_type") == "ORG")
-    forms = entities.where(sole).select("doc_id", "seg_ord", F.col("ent_seq").alias("f_seq"), F.col("start").alias("fs"), F.col("end").alias("fe"), F.col("original_text").alias("ft"))
-    people = entities.where("entity_type = 'PERSON'")
-    met = people.join(forms, ["doc_id", "seg_ord"]).where((F.col("fe") <= F.col("start")) & (gap(F.col("fs"), F.col("fe"), F.col("start"), F.col("end")) <= most_gap))
+    form = rf"(?iu)(?<![\p{{L}}\d])(?:ип|индивидуальн(?:ый|ого|ому|ым|ом)\s+предпринимател(?:ь|я|ю|ем|е))[\s«\"]{{1,{most_gap}}}$"
+    people = entities.where("entity_type = 'PERSON'").join(segments.select("doc_id", "seg_ord", F.col("text").alias("_text")), ["doc_id", "seg_ord"])
+    lead = F.regexp_extract(F.substring(F.col("_text"), F.lit(1), F.col("start")), form, 0)
+    met = people.withColumn("_lead", lead).where("_lead <> ''")
     shadow = F.array(F.struct("start", "end", "original_text", "entity_type", "detector", "confidence", "group_key", "canonical"))
+    start = F.col("start") - F.length("_lead")
     merged = met.select(
-        "doc_id", "seg_ord", "ent_seq", F.col("fs").alias("start"), "end", F.concat("ft", F.space(F.col("start") - F.col("fe")), "original_text").alias("original_text"), F.lit("ORG").alias("entity_type"), "detector", "confidence",
-        F.lit(None).cast("string").alias("group_key"), "canonical", shadow.alias("shadowed"),
+        "doc_id", "seg_ord", "ent_seq", start.cast("int").alias("start"), "end", F.substring(F.col("_text"), start + 1, F.col("end") - start).alias("original_text"), F.lit("ORG").alias("entity_type"), "detector", "confidence",
+        F.concat(F.lit("org:"), F.coalesce("group_key", F.lower("original_text"))).alias("group_key"), "canonical", shadow.alias("shadowed"),
     )
-    gone = met.select("doc_id", "seg_ord", F.explode(F.array("ent_seq", "f_seq")).alias("ent_seq"))
-    rest = entities.join(gone, ["doc_id", "seg_ord", "ent_seq"], "left_anti")
-    return rest.withColumn("shadowed", F.lit(None).cast(merged.schema["shadowed"].dataType)).select(*merged.columns).unionByName(merged)
+    rest = entities.join(met.select("doc_id", "seg_ord", "ent_seq"), ["doc_id", "seg_ord", "ent_seq"], "left_anti")
+    return rest.withColumn("shadowed", F.lit(None).cast(merged.schema["shadowed"].dataType)).unionByName(merged, allowMissingColumns=True)

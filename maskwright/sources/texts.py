@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Share of unreadable characters from which a text is refused.
 UNREADABLE = 0.30
-UPLOAD_CAP = 50 << 20
 #: What is read and what values can be restored into.
 CAPABILITIES = {"read": (".docx", ".txt"), "restore_text": True, "restore_files": (".docx", ".xlsx", ".pptx")}
 
@@ -43,12 +42,13 @@ def lines(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return rows.select("doc_id", "seg_ord", F.concat(F.lit("l"), "seg_ord").alias("seg_id"), "text", F.lit("txt_line").alias("source_type"))
 
 
-def read_text_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(segments, refused) of .txt files: refused has path and reason (unsupported, too_large, unreadable)."""
+def read_text_files(spark: SparkSession, path: str, most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, refused) of .txt files: refused has path and reason (unsupported, unreadable, and too_large where most_bytes is set)."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     named = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
-    text = named.withColumn("text", F.when((F.col("suffix") == ".txt") & (F.col("length") <= UPLOAD_CAP), decode_text(F.col("content"))))
-    reason = F.when(F.col("suffix") != ".txt", "unsupported").when(F.col("length") > UPLOAD_CAP, "too_large").when(unreadable_share(F.col("text")) > UNREADABLE, "unreadable")
+    too_large = F.lit(False) if most_bytes is None else F.col("length") > most_bytes
+    text = named.withColumn("text", F.when((F.col("suffix") == ".txt") & ~too_large, decode_text(F.col("content"))))
+    reason = F.when(F.col("suffix") != ".txt", "unsupported").when(too_large, "too_large").when(unreadable_share(F.col("text")) > UNREADABLE, "unreadable")
     judged = text.withColumn("reason", reason).withColumn("doc_id", F.xxhash64("path"))
     return lines(judged.where("reason is null")), judged.where("reason is not null").select("path", "reason")
 
@@ -57,7 +57,12 @@ def table_cells(df: DataFrame, doc_id: Column, table_index: Column, row_index: C
     """Cells of relational rows as segments t{table}_r{row}_c{col}; seg_ord follows table, row, column."""
     cells = F.array(*[F.struct(F.lit(i).alias("col_index"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("text")) for i, c in enumerate(columns)])
     rows = df.select(doc_id.cast("bigint").alias("doc_id"), table_index.cast("int").alias("table_index"), row_index.cast("int").alias("row_index"), F.explode(cells).alias("c"))
-    order = (F.col("table_index") * 1_000_000 + F.col("row_index") * len(columns) + F.col("c.col_index")).cast("int")
+    # Each table begins where those before it in its document end.
+    heights = rows.groupBy("doc_id", "table_index").agg((F.max("row_index") + 1).alias("_height"))
+    before = Window.partitionBy("doc_id").orderBy("table_index").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = heights.select("doc_id", "table_index", F.coalesce(F.sum("_height").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(offsets, ["doc_id", "table_index"])
+    order = ((F.col("_before") + F.col("row_index")) * len(columns) + F.col("c.col_index")).cast("int")
     return rows.select(
         "doc_id", order.alias("seg_ord"), F.concat(F.lit("t"), "table_index", F.lit("_r"), "row_index", F.lit("_c"), "c.col_index").alias("seg_id"), "c.text", F.lit("docx_table_cell").alias("source_type"),
         "table_index", "row_index", "c.col_index",

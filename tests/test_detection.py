@@ -238,3 +238,68 @@ def test_text_files(spark, tmp_path):
 def test_control_digits(spark):
     row = spark.range(1).select(checks.make_inn10(F.lit("770708389")).alias("a"), checks.make_ogrn13(F.lit("102770013219")).alias("b"), checks.make_snils(F.lit("112233445")).alias("c")).first()
     assert (row.a, row.b, row.c) == ("7707083893", "1027700132195", "11223344595")
+
+
+def test_case_repair(spark):
+    from maskwright.operators import casing
+
+    cases = {
+        "иванов иван иванович": "Иванов Иван Иванович",
+        "(1) иванов иван": "(1) Иванов Иван",
+        "ип пирогова а.с.": "ИП Пирогова А.С.",
+        "МОСКВА ЛЕНИНА 47/3 КВ 67": "Москва Ленина 47/3 КВ 67",
+        "Подписал КРЫЛОВА Е. П.": "Подписал Крылова Е. П.",
+        "иванов пЕтРоВа": "иванов Петрова",
+        "код ОКВЭД и ООО «Ромашка»": None,
+        "ПЕТРОВА АННА 04Ч525ЗбО": "Петрова Анна 04Ч525ЗбО",
+        "«25» мая 2023 г.": None,
+        "Обычный текст": None,
+        "слово " * 40: None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(cases)] + [(99, 0, "иBан"), (99, 1, "петров пётр"), (99, 2, "1. петров пётр"), (100, 0, None)], "doc_id bigint, seg_ord int, text string")
+    got = {(r.doc_id, r.seg_ord): r.detection_text for r in casing.with_detection_text(rows).collect()}
+    assert [got[i, 0] for i in range(len(cases))] == list(cases.values())
+    assert got[99, 1] is None and got[99, 2] == "1. Петров Пётр" and got[100, 0] is None
+
+
+def test_shapes_of_whole_values(spark):
+    values = {"Иванов Иван": "title", "ИВАНОВ ИВАН": "upper", "иванов": "lower", "Иванов иван": "mixed", "«Ромашка» Плюс": "title", "И.": "upper", "12": "no_letters", "Мак-Дональд": "title"}
+    row = spark.range(1).select(*[shapes.case_shape(F.lit(v)).alias(f"c{i}") for i, v in enumerate(values)], shapes.token_shapes(F.lit("Иванов И.И. ООО")).alias("t")).first()
+    assert list(row)[:-1] == list(values.values())
+    assert [t.initial for t in row.t] == [False, True, False]
+
+
+def test_leaks_and_open_pieces(spark):
+    from maskwright.operators import metrics
+
+    a = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    row = spark.range(1).select(
+        metrics.leak_by_position(F.lit("12 34"), a("12")), metrics.leak_by_position(F.lit("12 34"), a("12 3", "4")), metrics.leak_by_position(F.lit("12"), a()), metrics.leak_by_position(F.lit("аб"), a("б")),
+        metrics.adjacent_open(F.lit("7707083893"), a("7707", "08", "99")), metrics.leak_address(F.lit("125009, г. Москва, ул. Тверская"), F.lit("улица Тверской и 125009"))["status"],
+        metrics.round_trip_kept(F.lit("a b"), F.lit("a\nb")), metrics.round_trip_kept(F.lit("a"), F.lit(None)),
+    ).first()
+    assert list(row) == ["partial", "full", "none", "full", 6, "partial", True, False]
+    gold = spark.createDataFrame([(1, 0, 10, "INN"), (1, 20, 25, "INN"), (2, 0, 4, "INN")], "doc_id bigint, start int, end int, type string")
+    masks = spark.createDataFrame([(1, 2, 4, "INN"), (1, 3, 6, "KPP"), (1, 8, 12, "INN"), (1, 19, 30, "INN")], "doc_id bigint, start int, end int, type string")
+    assert sorted((r.doc_id, r.piece_start, r.piece_end) for r in metrics.uncovered_pieces(gold, masks).collect()) == [(1, 0, 2), (1, 6, 8), (2, 0, 4)]
+
+
+def test_sole_traders_and_profiles(spark):
+    from maskwright.plans import detection
+
+    rows = spark.createDataFrame([(1, 0, "Договор заключён с ИП Петров Пётр Петрович и ИП Сидоров С.С."), (2, 0, "ПЕТРОВ ПЁТР ПЕТРОВИЧ подписал")], "doc_id bigint, seg_ord int, text string")
+    found = detection.run_detection(rows, seams=False)
+    orgs = sorted(r.original_text for r in found.where("entity_type = 'ORG'").collect())
+    assert orgs == ["ИП Петров Пётр Петрович", "ИП Сидоров С.С."]
+    assert [r.original_text for r in found.where("doc_id = 2 and entity_type = 'PERSON'").collect()] == ["ПЕТРОВ ПЁТР ПЕТРОВИЧ"]
+    people_only = detection.mask(rows, enabled=frozenset({"PERSON"}), seams=False)[0].collect()
+    assert {r.doc_id: r.rendered for r in people_only} == {1: "Договор заключён с ИП [PERSON_1] и ИП [PERSON_2]", 2: "[PERSON_1] подписал"}
+
+
+def test_moved_marks_take_the_text_they_cover(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 3, "абв", "ORG", "[ORG_1]")], "doc_id bigint, seg_ord int, start int, end int, original_text string, entity_type string, token string")
+    marks = spark.createDataFrame([(1, 0, 0, 3, "boundary", 1, None, 0, 5)], "doc_id bigint, seg_ord int, start int, end int, kind string, created_at int, new_type string, new_start int, new_end int")
+    segs = spark.createDataFrame([(1, 0, "абвгд е")], "doc_id bigint, seg_ord int, text string")
+    r = review.apply_marks(rows, marks, segs).first()
+    assert (r.start, r.end, r.original_text, r.token) == (0, 5, "абвгд", "[ORG_1]")
