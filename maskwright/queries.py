@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks, folds, shapes
-from maskwright.operators import address, boundary, gate, metrics, multispan, normalize, patterns, perturb, repair, report, resolve, restore, review, sessions, structural, tokens
+from maskwright.operators import address, boundary, casing, gate, metrics, multispan, normalize, patterns, perturb, repair, report, resolve, restore, review, sessions, structural, tokens
 from maskwright.plans import detection
 from maskwright.plans.rules import PROFILES, RULES, resolve_profile
 from maskwright.sources import texts
@@ -516,7 +516,15 @@ def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.build_report(rows.where("l_quantity < 5").selectExpr(*base, f"{_KIND} as kind"), rows.selectExpr(*base))
 
 
-@query("select doc_id, w as word, case when regexp_replace(w, '[^\\p{L}]', '', 'g') = '' then 'no_letters' when length(regexp_replace(w, '[^\\p{L}]', '', 'g')) > 1 and regexp_replace(w, '[^\\p{L}]', '', 'g') = upper(left(regexp_replace(w, '[^\\p{L}]', '', 'g'), 1)) || lower(substr(regexp_replace(w, '[^\\p{L}]', '', 'g'), 2)) then 'title' when regexp_replace(w, '[^\\p{L}]', '', 'g') = upper(regexp_replace(w, '[^\\p{L}]', '', 'g')) then 'upper' when regexp_replace(w, '[^\\p{L}]', '', 'g') = lower(regexp_replace(w, '[^\\p{L}]', '', 'g')) then 'lower' else 'mixed' end as shape from (select doc_id, split_part(text, ' ', 1) as w from documents where text is not null)")
+_LETTERS = "regexp_replace(w, '[^\\p{L}]', '', 'g')"
+#: A word counts as beginning small if its first character is a letter and no capital.
+_SHAPE = (
+    f"case when {_LETTERS} = '' then 'no_letters' when {_LETTERS} = upper({_LETTERS}) then 'upper' when {_LETTERS} = lower({_LETTERS}) then 'lower'"
+    " when len(list_filter(string_split_regex(w, '\\s+'), lambda x: regexp_matches(x, '^\\p{L}') and not regexp_matches(x, '^\\p{Lu}'))) = 0 then 'title' else 'mixed' end"
+)
+
+
+@query(f"select doc_id, w as word, {_SHAPE} as shape from (select doc_id, split_part(text, ' ', 1) as w from documents where text is not null)")
 def case_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.split_part("text", F.lit(" "), F.lit(1))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", word.alias("word"), shapes.case_shape(word).alias("shape"))
@@ -656,3 +664,117 @@ def folded_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs of Latin letters of whole texts, folded; folded_words has the first ones only, as its SQL states."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
     return words.groupBy("doc_id", folds.plain_letters(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select o_orderkey, w as value, {_SHAPE} as shape from (select o_orderkey, case o_orderkey % 5 when 0 then 'Иванов Иван ' || o_orderkey when 1 then upper('Иванов Иван') when 2 then 'иванов иван' when 3 then '«Ромашка» Плюс' else 'Иванов иван' end as w from orders)")
+def value_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of whole values: every word that begins with a letter must begin with a capital to make a title."""
+    k = F.col("o_orderkey") % 5
+    value = F.when(k == 0, F.concat(F.lit("Иванов Иван "), F.col("o_orderkey").cast("string"))).when(k == 1, "ИВАНОВ ИВАН").when(k == 2, "иванов иван").when(k == 3, "«Ромашка» Плюс").otherwise("Иванов иван")
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), shapes.case_shape(value).alias("shape"))
+
+
+@query(
+    "select s_suppkey::bigint as doc_id, k::int as seg_ord, d as detection_text from (select s_suppkey, unnest([0, 1, 2, 3, 4]) as k from supplier) join (values (0, 'Петров Пётр Петрович'), (1, 'Подписал Крылова Е. П.'), (2, 'ИП Пирогова А.С.'), (3, null), (4, 'иванов Петрова')) v(i, d) on i = k"
+)
+def case_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies for detection of lines in capitals, in small letters and in odd case; an abbreviation among words stays."""
+    lines = ("ПЕТРОВ ПЁТР ПЕТРОВИЧ", "Подписал КРЫЛОВА Е. П.", "ип пирогова а.с.", "код ОКВЭД и ООО «Ромашка»", "иванов пЕтРоВа")
+    segments = built(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), *map(F.lit, lines))
+    return casing.with_detection_text(segments).select("doc_id", "seg_ord", "detection_text")
+
+
+@query(
+    f"with {_GOLD}, {_MASKS}, {_UNION}, edges as (select g.doc_id, g.s, g.e, g.t, i.s as a, i.e as b from (select distinct * from gold) g left join islands i on i.doc_id = g.doc_id and i.s < g.e and i.e > g.s),"
+    " cuts as (select doc_id, s, e, t, s as p, coalesce(min(a), e) as q from edges group by all union all select doc_id, s, e, t, b, coalesce(lead(a) over (partition by doc_id, s, e, t order by a), e) from edges where b is not null)"
+    ' select doc_id, s as start, e as "end", t as type, p::int as piece_start, q::int as piece_end from cuts where p < q'.replace("group by all union", "group by doc_id, s, e, t union")
+)
+def uncovered_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of gold values that no mask covers."""
+    return metrics.uncovered_pieces(_gold(spark, sf_dir), _masks(spark, sf_dir))
+
+
+_LIVES = "(select user_id, min(ts) as created_at, min(ts) + interval 24 hour as expires_at from events group by user_id)"
+
+
+@query(f"select cast(user_id as varchar) as session_id from {_LIVES} where expires_at > (select min(ts) + (max(ts) - min(ts)) / 2 from events) or user_id = 1")
+def session_purge_midway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that are alive in the middle of the recorded time, and the one to keep."""
+    events = table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    rows = _lives(events)
+    return sessions.purge_expired(rows, F.lit(low + (high - low) / 2), keep="1").select("session_id")
+
+
+def _lives(events: DataFrame) -> DataFrame:
+    rows = events.groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.min("ts").alias("created_at"))
+    return rows.withColumn("expires_at", F.col("created_at") + F.make_dt_interval(hours=F.lit(24)))
+
+
+@query(f"select cast(l.user_id as varchar) as session_id, created_at, expires_at, coalesce(n, 0)::bigint as n_tokens from {_LIVES} l left join (select user_id, count(*) as n from events where event_type = 'purchase' and event_id % 2 = 0 group by user_id) p on p.user_id = l.user_id where l.user_id % 3 <> 0")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of sessions with their numbers of tokens, after some were deleted."""
+    events = table(spark, sf_dir, "events")
+    entries = events.where("event_type = 'purchase' and event_id % 2 = 0").select(F.col("user_id").cast("string").alias("session_id"))
+    gone = events.where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("session_id"))
+    return sessions.list_sessions(sessions.delete_session(_lives(events), gone), entries)
+
+
+@query("select event_id from events where user_id not in (select user_id from events where event_id % 50 = 0)")
+def orphans_of_kept_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("session_id", F.col("user_id"))
+    return sessions.orphans(events, events.where("event_id % 50 = 0")).select("event_id")
+
+
+@query("select c_custkey, 9 as offset_1, 17 + length(cast(c_custkey as varchar)) as offset_2 from customer")
+def segment_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line begins in the assembled text: line ends count."""
+    segments = built(table(spark, sf_dir, "customer"), F.col("c_custkey"), F.lit("Договор "), F.concat(F.lit("номер "), F.col("c_custkey").cast("string"), F.lit(".")), F.lit("конец"))
+    placed = tokens.segment_offsets(segments).groupBy("doc_id").pivot("seg_ord", [1, 2]).agg(F.first("offset"))
+    return placed.select(F.col("doc_id").alias("c_custkey"), F.col("1").cast("int").alias("offset_1"), F.col("2").cast("int").alias("offset_2"))
+
+
+@query("select line, key, metric, baseline, current from (select 'leaks' as line, l_returnflag as key, 'n' as metric, (count(*) filter (l_linenumber = 1))::double as baseline, (count(*) filter (l_linenumber <= 2))::double as current from lineitem group by l_returnflag) where current > baseline union all select 'purchases', event_type, 'rows', 0.0::double, count(*)::double from events where value > 50 group by event_type")
+def gate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines of the gate together: counts that may not rise, and rows that may not be there."""
+    count = lambda df: df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf_dir, "lineitem")
+    risen = gate.compare(count(items.where("l_linenumber = 1")), count(items.where("l_linenumber <= 2")), "l_returnflag", {"n": ("down", 0.0)}, "leaks")
+    return gate.evaluate(risen, gate.must_be_empty(table(spark, sf_dir, "events").where("value > 50"), "purchases", "event_type"))
+
+
+@query("select 'baseline' as side, p_partkey as id from part where p_size < 10 and p_partkey % 2 = 0 union all select 'ledger', p_partkey from part where p_size >= 10 and p_partkey % 7 = 0")
+def gate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a baseline and its ledger don't share."""
+    part = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    both = "(p_size < 10 and p_partkey % 2 = 1)"
+    return gate.same_ledger(part.where(f"{both} or (p_size < 10 and p_partkey % 2 = 0)").select("id"), part.where(f"{both} or (p_size >= 10 and p_partkey % 7 = 0)").select("id")).select("side", "id")
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'SUM' else 'PHONE' end as entity_type, (case when o_orderkey % 3 = 1 then 1 else 0 end)::int as start, substr('абвгд' || o_orderkey, case when o_orderkey % 3 = 1 then 2 else 1 end, 3) as original_text from orders where o_orderkey % 3 <> 2")
+def marks_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks that change a type, move a boundary or take a mask away; a moved mask takes the text that it covers."""
+    orders = table(spark, sf_dir, "orders")
+    segments = orders.selectExpr("o_orderkey as doc_id", "0 as seg_ord", "concat('абвгд', o_orderkey) as text")
+    tokened = orders.selectExpr("o_orderkey as doc_id", "0 as seg_ord", "0 as start", "3 as end", "'абв' as original_text", "'PHONE' as entity_type", "'[PHONE_1]' as token")
+    kinds = "case o_orderkey % 3 when 0 then 'type' when 1 then 'boundary' else 'false_mask' end"
+    marks = orders.selectExpr("o_orderkey as doc_id", "0 as seg_ord", "0 as start", "3 as end", f"{kinds} as kind", "1 as created_at", "'SUM' as new_type", "1 as new_start", "4 as new_end")
+    return review.apply_marks(tokened, marks, segments).select(F.col("doc_id").alias("o_orderkey"), "entity_type", "start", "original_text")
+
+
+@query("select c_custkey, t as type, s as status from customer, (values ('INN', 'full'), ('ADDRESS', 'partial'), ('EMAIL', 'none'), ('BIRTHDATE', 'full'), ('PERSON', 'partial')) v(t, s)")
+def leak_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each type's own rule says of a value against a text in which parts of it are left open."""
+    inn = checks.make_inn10(_nine("c_custkey"))
+    cases = [("INN", inn, F.concat(F.lit("№ "), inn)), ("ADDRESS", F.lit("г. Москва, ул. Тверская"), F.lit("на Тверской улице в тверская")), ("EMAIL", F.lit("abcdef@mail.ru"), F.lit("[EMAIL_1]")), ("BIRTHDATE", F.lit("01.02.1980"), F.lit("01/02/1980")), ("PERSON", F.lit("Иванов Пётр"), F.lit("пётр пришёл"))]
+    rows = F.array(*[F.struct(F.lit(t).alias("type"), v.alias("value"), a.alias("open_text")) for t, v, a in cases])
+    each = table(spark, sf_dir, "customer").select("c_custkey", F.inline(rows))
+    return each.select("c_custkey", "type", metrics.leak_status(F.col("type"), F.col("value"), F.col("open_text")).alias("status"))
+
+
+@query("select c_custkey::bigint as doc_id, 0 as seg_ord, 12 as start, 26 as \"end\", 'ИП Петров П.П.' as original_text from customer")
+def sole_traders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sole trader's form and the name behind it make one organisation."""
+    segments = built(table(spark, sf_dir, "customer"), F.col("c_custkey"), F.lit("заключили с ИП Петров П.П. договор"))
+    people = resolve.as_entities(structural.detect_structural(normalize.with_view(segments)))
+    return structural.merge_compounds(people, segments).where("entity_type = 'ORG'").select("doc_id", "seg_ord", "start", "end", "original_text")
