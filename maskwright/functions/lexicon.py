@@ -36,6 +36,9 @@ CASE_ENDINGS = ("ого", "ому", "ыми", "ими", "ами", "ями", "о
 _PATRONYMIC = re.compile(r"(?:ович|евич|ьич|инич|овн|евн|иничн)(?:а|у|ем|ой|ы|е|ю)?$")
 _SURNAME = re.compile(r"(?:ов|ев|ёв|ин|ын|ск|цк)(?:а|у|ым|ой|ого|ому|ий|ая|ую|ом|е|ых)?$|(?:ко|ук|юк|ян|дзе|швили|их|ых)$")
 
+#: A surname keeps its own ending ("ов" is no case ending in it); what follows is the case.
+_SURNAME_FORM = re.compile(r"(.{2,}(?:ов|ев|ин|ын))(?:а|у|ым|ой|е|ых|ы|ыми)?$")
+
 
 @dataclass
 class Lexicon:
@@ -56,7 +59,8 @@ class Lexicon:
     def lemma(self, word: str) -> str:
         """A key that a word's case forms share."""
         low = word.lower().replace("ё", "е")
-        return self.lemmas.get(low) or self._cut(low)
+        surname = _SURNAME_FORM.match(low) if word[:1].isupper() else None
+        return self.lemmas.get(low) or (surname[1] if surname else self._cut(low))
 
     def roles(self, word: str) -> frozenset[str]:
         """Which of name, patr, surn a word can be."""
