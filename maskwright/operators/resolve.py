@@ -17,11 +17,12 @@ TRIMMED = " \t\r\n"
 SEPARATORS = TRIMMED + ",;.:|«»\"'()"
 ENTITY = (
     "doc_id bigint, seg_ord int, ent_seq bigint, start int, end int, original_text string, entity_type string, detector string, confidence double, "
-    "group_key string, canonical string, spans array<struct<s:int,e:int>>"
+    "group_key string, canonical string"
 )
+SPANS = "array<struct<s:int,e:int>>"
 SHADOW = "array<struct<start:int,end:int,original_text:string,entity_type:string,detector:string,confidence:double,group_key:string,canonical:string>>"
-RESOLVED = f"{ENTITY}, shadowed {SHADOW}"
-_TYPES = [tuple(f.split(" ", 1)) for f in ENTITY.split(", ")]
+RESOLVED = f"{ENTITY}, spans {SPANS}, shadowed {SHADOW}"
+_TYPES = [*(tuple(f.split(" ", 1)) for f in ENTITY.split(", ")), ("spans", SPANS)]
 NAMES = [n for n, _ in _TYPES]
 
 

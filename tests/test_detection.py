@@ -303,3 +303,12 @@ def test_moved_marks_take_the_text_they_cover(spark):
     segs = spark.createDataFrame([(1, 0, "абвгд е")], "doc_id bigint, seg_ord int, text string")
     r = review.apply_marks(rows, marks, segs).first()
     assert (r.start, r.end, r.original_text, r.token) == (0, 5, "абвгд", "[ORG_1]")
+
+
+def test_pieces_pass_the_resolver(spark):
+    views = normalize.with_view(spark.createDataFrame([(1, 0, "тел. 8 (900) 123-45-67")], "doc_id bigint, seg_ord int, text string"))
+    phones = resolve.as_entities(multispan.detect_multispan(views))
+    rival = resolve.as_entities(spark.createDataFrame([(1, 0, 7, 0, 6, "тел. 8", "ORG", "ner", 0.5)], "doc_id bigint, seg_ord int, ent_seq bigint, start int, end int, original_text string, entity_type string, detector string, confidence double"))
+    for found in (phones, phones.unionByName(rival)):
+        settled = resolve.entity_spans(resolve.resolve_overlaps(found)).where("entity_type = 'PHONE'").first()
+        assert [(p.s, p.e) for p in settled.pieces] == [(5, 6), (8, 11), (13, 22)]  # the view has no hyphens in numbers
