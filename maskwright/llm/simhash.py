@@ -42,7 +42,7 @@ CELL = 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Fingerprints of consecutive groups of hashes (counts[i] > 0 of them each).
 
     Bits are summed in byte lanes: 255 hashes at most in one lane sum, then sums of those sums.
@@ -67,7 +67,7 @@ def simhashes(texts: list[bytes], shingle: int, at_once: int = 1 << 17) -> np.nd
 
     def flush() -> None:
         if rows:
-            out[rows] = _votes(np.concatenate(blocks), np.array(counts))
+            out[rows] = votes(np.concatenate(blocks), np.array(counts))
             rows.clear(), counts.clear(), blocks.clear()
 
     for i, text in enumerate(texts):
