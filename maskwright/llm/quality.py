@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, materialize, mix64, rolling, slices, space
+from .common import Words, bounded, materialize, mix64, rolling, slices, space, trim
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -86,6 +86,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch], inside: str | None) -> Ite
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in keep), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], names=[*keep, *COUNTS]
         )
+        del batch, counts
+    trim()
 
 
 def with_counts(docs: DataFrame, inside: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64, powers, ragged, slices
+from .common import mix64, powers, ragged, slices, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units longer than this are cut where no piece can reach across.
@@ -364,6 +364,7 @@ def round_trip(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc
                     [*(batch.column(c).slice(at, to - at) for c in keep), pa.array(counts), pa.array(n_bytes), pa.array(own), pa.array([sha(t) for t in decoded]), pa.array(exact), *lists],
                     names=[*keep, "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "exact", *["ids"] * with_ids],
                 )
+        trim()
 
     types = "n_pieces bigint, n_byte_pieces bigint, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*_columns(docs, keep), types]))
