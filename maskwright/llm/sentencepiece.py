@@ -39,7 +39,9 @@ LONG = 48
 #: Parts longer than this are encoded by themselves, all positions of one at once.
 ALONE = 256
 #: Units whose ids a worker keeps in memory.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 100_000
+#: Slices of texts after which a worker gives back the memory that it has freed.
+TRIM_SLICES = 8
 BUCKET_BITS = 18
 
 _NEVER = -1e18
@@ -305,6 +307,14 @@ def _share(df: DataFrame, path: str) -> _Model:
     return _Model(df.sparkSession.sparkContext.broadcast(load(path)), path)
 
 
+def _trimmed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The slices of texts; memory goes back to the system every TRIM_SLICES, not only once a task is through."""
+    for k, part in enumerate(slices(texts), 1):
+        yield part
+        if k % TRIM_SLICES == 0:
+            trim()
+
+
 def _columns(docs: DataFrame, keep: tuple[str, ...]) -> list[str]:
     return [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep]
 
@@ -317,7 +327,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id"
         encoder = _worker_encoder(model)
         for batch in batches:
             text = batch.column("text")
-            for at, to, _, _ in slices(text):
+            for at, to, _, _ in _trimmed(text):
                 ids, counts = encoder(text.slice(at, to - at).to_pylist())
                 ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(ids))
@@ -350,7 +360,7 @@ def round_trip(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc
         is_byte[encoder.pieces.byte_ids] = True
         for batch in batches:
             text = batch.column("text")
-            for at, to, data, bounds in slices(text):
+            for at, to, data, bounds in _trimmed(text):
                 raw = data.tobytes()
                 ids, counts = encoder(text.slice(at, to - at).to_pylist())
                 decoded = decode_ids(ids, counts, encoder.pieces)
