@@ -1,15 +1,20 @@
 """Conflicts between overlapping values: who wins, what is left of the loser, who comes back.
 
 Segments without an overlap pass natively; a running maximum of ends finds the others, and only
-their rows are grouped by segment for the round-based resolver. Its state is one segment's values.
+their rows go segment by segment to the round-based resolver. Its state is one segment's values.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from maskwright.plans.groups import dealt, in_batches, whole_groups
 from maskwright.plans.rules import BARRIERS, NAME_RANK, PATTERN_RANK
 
 TRIMMED = " \t\r\n"
@@ -129,39 +134,26 @@ def settle(rows: list[dict]) -> list[dict]:
 _SHADOW_KEYS = ("start", "end", "original_text", "entity_type", "detector", "confidence", "group_key", "canonical")
 
 
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    """Plain dictionaries: numbers as int, missing as None."""
-    out = []
-    for r in frame.sort_values("ent_seq", kind="stable").to_dict("records"):
-        r = {k: (None if not isinstance(v, (list, dict)) and not hasattr(v, "__len__") and pd.isna(v) else v) for k, v in r.items()}
-        r["start"], r["end"] = int(r["start"]), int(r["end"])
-        if r.get("shadowed") is not None:
-            r["shadowed"] = [dict(x) for x in r["shadowed"]]
-        if r.get("spans") is not None:
-            r["spans"] = [dict(x) for x in r["spans"]]
-        out.append(r)
-    return out
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    for r in rows:
-        r["shadowed"] = [{k: s[k] for k in _SHADOW_KEYS} for s in r.get("shadowed") or []] or None
-    return pd.DataFrame(rows, columns=[*NAMES, "shadowed"])
+def _settled(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The values of each segment of a sorted partition, without overlaps."""
 
+    def rows(group: list[dict]) -> list[dict]:
+        return [r | {"shadowed": [{k: s[k] for k in _SHADOW_KEYS} for s in r["shadowed"]] or None} for r in settle(group)]
 
-def _settle_group(frame: pd.DataFrame) -> pd.DataFrame:
-    return _frame(settle(_rows(frame)))
+    return in_batches(map(rows, whole_groups(batches, ("doc_id", "seg_ord"))), schema)
 
 
 def resolve_overlaps(entities: DataFrame) -> DataFrame:
     """Entities without overlaps; winners carry what they displaced in ``shadowed``.
 
-    A segment's values are handled by one task; they number as many as fit a paragraph.
+    A segment's values are handled together; they number as many as fit a paragraph. A task takes
+    its segments one after the other from a sorted partition.
     """
+    segment = ["doc_id", "seg_ord"]
     marked = in_conflict(_with_shadow(entities))
     calm = marked.where(~F.col("conflict")).drop("conflict")
-    torn = marked.where("conflict").drop("conflict").groupBy("doc_id", "seg_ord").applyInPandas(_settle_group, RESOLVED)
-    return calm.unionByName(torn)
+    torn = dealt(marked.where("conflict").drop("conflict"), *segment).sortWithinPartitions(*segment, "ent_seq", "start", "end", "entity_type")
+    return calm.unionByName(torn.mapInArrow(partial(_settled, schema=to_arrow_schema(torn.schema)), RESOLVED))
 
 
 def suppressions(resolved: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from maskwright.functions import checks, folds, shapes
 from maskwright.operators import address, boundary, casing, gate, metrics, multispan, normalize, patterns, perturb, repair, report, resolve, restore, review, sessions, structural, tokens
 from maskwright.plans import detection
+from maskwright.plans.groups import dealt
 from maskwright.plans.rules import PROFILES, RULES, resolve_profile
+from maskwright.plans.tables import keep
 from maskwright.sources import texts
 from maskwright.streaming import stream
 
@@ -41,7 +43,8 @@ def rules_of(*types: str) -> tuple:
 
 
 def built(df: DataFrame, doc_id: Column, *lines: Column) -> DataFrame:
-    """Segments of built lines, one per expression."""
+    """Segments of built lines, one per expression; the rows are dealt over tasks before any work on them."""
+    df = dealt(df, doc_id)
     rows = F.posexplode(F.array(*lines)).alias("seg_ord", "text")
     return df.select(doc_id.cast("bigint").alias("doc_id"), rows)
 
@@ -426,7 +429,7 @@ def shadow_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = [(0, 9, "ORG", "ner", "ИП Иванов"), (3, 9, "PERSON", "ner", "Иванов"), (20, 30, "INN", "regex", "7707083893"), (25, 32, "ORG", "ner", "83893 x")]
     rows = F.array(*[F.struct(F.lit(i).cast("long").alias("ent_seq"), F.lit(s).alias("start"), F.lit(e).alias("end"), F.lit(v).alias("original_text"), F.lit(t).alias("entity_type"), F.lit(d).alias("detector"), F.lit(1.0).alias("confidence")) for i, (s, e, t, d, v) in enumerate(spans)])
     entities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("doc_id"), F.lit(0).alias("seg_ord"), F.inline(rows))
-    return resolve.recover_shadowed(resolve.resolve_overlaps(entities), frozenset({"PERSON", "INN"})).select("doc_id", "entity_type", "start", "end")
+    return resolve.recover_shadowed(keep(resolve.resolve_overlaps(entities), "resolved"), frozenset({"PERSON", "INN"})).select("doc_id", "entity_type", "start", "end")
 
 
 @query("select s_suppkey::bigint as doc_id, 'INN' as suppressed_type, 'CLAUSE_REF' as suppressor_type, 4 as start, 10 as \"end\" from supplier")
