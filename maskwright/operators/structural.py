@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.lexicon import COLLECTIVE_WORDS, ORG_FORMS, ROLE_WORDS, Lexicon
+from maskwright.plans.groups import dealt, in_batches, whole_groups
 
 SCHEMA = "doc_id bigint, seg_ord int, ent_seq bigint, start int, end int, original_text string, entity_type string, detector string, confidence double, group_key string, canonical string"
 COLUMNS = [f.split()[0] for f in SCHEMA.split(", ")]
+_ARROW = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (f.split() for f in SCHEMA.split(", "))])
 
 _FORM = r"\b(?:" + "|".join(sorted(map(re.escape, ORG_FORMS), key=len, reverse=True)) + r")\b"
 _QUOTED = r"«([^«»\n]{1,60})»|“([^“”\n]{1,60})”|„([^„“”\n]{1,60})[“”]|\"([^\"\n]{1,60})\""
@@ -127,10 +131,10 @@ class Book:
         return fitting[0]
 
 
-def _document(frame: pd.DataFrame, lex: Lexicon) -> pd.DataFrame:
-    frame = frame.sort_values("seg_ord")
-    segments = list(zip(frame["seg_ord"], frame["norm"], frame["text"], frame["omap"], strict=True))
-    doc, source_of = frame["doc_id"].iloc[0], dict(zip(frame["seg_ord"], frame["text"], strict=True))
+def _document(frame: list[dict], lex: Lexicon) -> list[dict]:
+    """The entities of one document; its segments come in order."""
+    segments = [(r["seg_ord"], r["norm"], r["text"], r["omap"]) for r in frame]
+    doc, source_of = frame[0]["doc_id"], {r["seg_ord"]: r["text"] for r in frame}
     rows: list[tuple] = []
     taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
 
@@ -171,19 +175,25 @@ def _document(frame: pd.DataFrame, lex: Lexicon) -> pd.DataFrame:
                     emit(seg, norm, omap, w.start(), words[i + len(key) - 1].end(), "ORG", 1.0, "org:" + " ".join(key), canonical)
             if lemmas[i] in surnames:
                 emit(seg, norm, omap, w.start(), w.end(), "PERSON", 1.0, f"per:{surnames[lemmas[i]]}", None)
-    return pd.DataFrame(rows, columns=COLUMNS)
+    return [dict(zip(COLUMNS, r, strict=True)) for r in rows]
+
+
+def _documents(batches: Iterator[pa.RecordBatch], lex: Lexicon, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    return in_batches((_document(rows, lex) for rows in whole_groups(batches, ("doc_id",))), schema)
 
 
 def detect_structural(views: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """ORG and PERSON entities of views (doc_id, seg_ord, text, norm, omap), one task per document.
+    """ORG and PERSON entities of views (doc_id, seg_ord, text, norm, omap), document by document.
 
     Python sees only documents with a legal form or a capital Cyrillic letter before a small one or a
-    dot: without one nothing is learned, so there is nothing to look for.
+    dot: without one nothing is learned, so there is nothing to look for. A task takes its documents
+    one after the other from a sorted partition.
     """
-    slim = views.select("doc_id", "seg_ord", "text", "norm", "omap")
-    may = slim.where(F.col("norm").rlike(rf"[А-ЯЁ](?:[а-яё]|\.)|(?iu){_FORM}")).select("doc_id").distinct()
-    slim = slim.join(may, "doc_id", "left_semi")
-    return slim.groupBy("doc_id").applyInPandas(partial(_document, lex=lexicon or Lexicon()), SCHEMA)
+    slim = dealt(views.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("seg_ord").cast("int").alias("seg_ord"), "text", "norm", "omap"), "doc_id")
+    document = Window.partitionBy("doc_id").orderBy("seg_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    may = slim.withColumn("_may", F.max(F.col("norm").rlike(rf"[А-ЯЁ](?:[а-яё]|\.)|(?iu){_FORM}")).over(document)).where("_may").drop("_may")
+    read = partial(_documents, lex=lexicon or Lexicon(), schema=_ARROW)
+    return may.sortWithinPartitions("doc_id", "seg_ord").mapInArrow(read, SCHEMA)
 
 
 def _barriers(frame: pd.DataFrame) -> pd.DataFrame:
