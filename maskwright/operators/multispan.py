@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions.binding import once
 from maskwright.functions.checks import CHECKS
 from maskwright.operators.normalize import DIGIT_LIKE, source_end, source_start
 from maskwright.operators.patterns import has_anchor, occurrences
@@ -54,10 +55,13 @@ def _digits(value: Column) -> Column:
 
 def _pieces(value: Column, pattern: str, between: str, shift: Column) -> Column:
     """Places of the matches of ``pattern`` in a value that begins at ``shift``; ``between`` matches all that is between them."""
-    parts = F.regexp_extract_all(value, F.lit(f"{pattern}|{between}"), F.lit(0))
-    start = lambda i: shift + F.length(F.array_join(F.slice(parts, 1, i), ""))
-    places = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2))
-    return F.transform(places, lambda i: F.struct(start(i).alias("s"), (start(i) + F.length(F.get(parts, i))).alias("e")))
+
+    def places(parts: Column) -> Column:
+        start = lambda i: shift + F.length(F.array_join(F.slice(parts, 1, i), ""))
+        place = lambda i: once(start(i), lambda s: F.struct(s.alias("s"), (s + F.length(F.get(parts, i))).alias("e")))
+        return F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), place)
+
+    return once(F.regexp_extract_all(value, F.lit(f"{pattern}|{between}"), F.lit(0)), places)
 
 
 def _groups(m: Column) -> Column:
@@ -81,14 +85,13 @@ def _broken_kind(text: Column, start: Column, digits: Column, sides: Column) ->
 
 
 def phones(text: Column) -> Column:
-    digits = lambda m: _digits(m["value"])
-    fits = lambda m: F.length(digits(m)).isin(*PHONE_DIGITS) & F.substring(digits(m), 1, 1).isin("7", "8")
+    fits = lambda m: once(_digits(m["value"]), lambda d: F.length(d).isin(*PHONE_DIGITS) & F.substring(d, 1, 1).isin("7", "8"))
 
     def hit(m: Column) -> Column:
         plus = F.when((m["m_start"] > 0) & (F.substring(text, m["m_start"], F.lit(1)) == "+"), 1).otherwise(0)
-        pieces = _groups(m)
-        first = F.struct((F.get(pieces, 0)["s"] - plus).alias("s"), F.get(pieces, 0)["e"].alias("e"))
-        return _hit(F.lit("PHONE"), m["m_start"] - plus, m["m_start"] + F.length(m["value"]), F.concat(F.array(first), F.slice(pieces, F.lit(2), F.size(pieces))))
+        first = lambda pieces: F.struct((F.get(pieces, 0)["s"] - plus).alias("s"), F.get(pieces, 0)["e"].alias("e"))
+        shifted = once(_groups(m), lambda pieces: F.concat(F.array(first(pieces)), F.slice(pieces, F.lit(2), F.size(pieces))))
+        return _hit(F.lit("PHONE"), m["m_start"] - plus, m["m_start"] + F.length(m["value"]), shifted)
 
     return F.transform(F.filter(occurrences(text, _PHONE), fits), hit)
 
@@ -96,8 +99,8 @@ def phones(text: Column) -> Column:
 def broken_numbers(text: Column) -> Column:
     at_line_end = F.filter(occurrences(text, _LINES), lambda m: F.contains(m["value"], F.lit("\n")))
     read = F.transform(at_line_end, lambda m: F.struct(m["m_start"].alias("m_start"), m["value"].alias("value"), _digits(m["value"]).alias("digits"), F.transform(F.split(m["value"], "\n"), _digits).alias("sides")))
-    hits = F.transform(read, lambda m: _hit(_broken_kind(text, m["m_start"], m["digits"], m["sides"]), m["m_start"], m["m_start"] + F.length(m["value"]), _groups(m)))
-    return F.filter(hits, lambda h: h["type"].isNotNull())
+    named = F.transform(read, lambda m: F.struct(m["m_start"].alias("m_start"), m["value"].alias("value"), _broken_kind(text, m["m_start"], m["digits"], m["sides"]).alias("type")))
+    return F.transform(F.filter(named, lambda m: m["type"].isNotNull()), lambda m: _hit(m["type"], m["m_start"], m["m_start"] + F.length(m["value"]), _groups(m)))
 
 
 def birth_dates(text: Column, broken_only: bool = True) -> Column:

@@ -385,7 +385,7 @@ def leak_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ten-digit number that is masked, left whole, or left but for its last three digits."""
     number = F.lpad((F.lit(5000000000) + F.col("o_orderkey")).cast("string"), 10, "0")
     left = F.when(F.col("o_orderkey") % 3 == 0, "ИНН [INN_1], сумма 12").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("ИНН "), number)).otherwise(F.concat(F.lit("ИНН "), F.substring(number, 1, 7), F.lit("[INN_1]")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", metrics.leak_status(F.lit("INN"), number, left).alias("status"))
+    return dealt(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", metrics.leak_status(F.lit("INN"), number, left).alias("status"))
 
 
 _SIDE = "select n_name as type, count(*) as found, count(*) filter (c_acctbal < {0}) as leak from customer join nation on c_nationkey = n_nationkey {1} group by n_name"
@@ -640,7 +640,7 @@ def layout_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def noise_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of anchored numbers distorted by each kind of noise, how many are still found."""
-    base = table(spark, sf_dir, "customer").select("c_custkey", checks.make_inn10(_nine("c_custkey")).alias("inn"))
+    base = dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", checks.make_inn10(_nine("c_custkey")).alias("inn"))
     kinds = list(perturb.NOISE)
     noisy = base.select(F.col("c_custkey").cast("bigint").alias("doc_id"), F.posexplode(F.array(*[F.concat(F.lit("ИНН "), f(F.col("inn"), F.col("c_custkey"))) for f in perturb.NOISE.values()])).alias("seg_ord", "text"))
     hits = found(noisy, "INN").select("doc_id", "seg_ord").distinct().withColumn("hit", F.lit(1))
@@ -781,7 +781,7 @@ def leak_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     inn = checks.make_inn10(_nine("c_custkey"))
     cases = [("INN", inn, F.concat(F.lit("№ "), inn)), ("ADDRESS", F.lit("г. Москва, ул. Тверская"), F.lit("на Тверской улице в тверская")), ("EMAIL", F.lit("abcdef@mail.ru"), F.lit("[EMAIL_1]")), ("BIRTHDATE", F.lit("01.02.1980"), F.lit("01/02/1980")), ("PERSON", F.lit("Иванов Пётр"), F.lit("пётр пришёл"))]
     rows = F.array(*[F.struct(F.lit(t).alias("type"), v.alias("value"), a.alias("open_text")) for t, v, a in cases])
-    each = table(spark, sf_dir, "customer").select("c_custkey", F.inline(rows))
+    each = dealt(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.inline(rows))
     return each.select("c_custkey", "type", metrics.leak_status(F.col("type"), F.col("value"), F.col("open_text")).alias("status"))
 
 

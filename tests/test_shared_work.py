@@ -1,9 +1,11 @@
 """Work on few bytes is shared by tasks: neither a file's one split nor the merging of small partitions puts it all into one."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from maskwright import queries
-from maskwright.operators import normalize, resolve, structural
+from maskwright.operators import metrics, multispan, normalize, resolve, structural
 
 
 def tasks(df):
@@ -33,3 +35,25 @@ def test_built_lines_are_read_by_many_tasks(spark, sf):
     lines = queries.built(queries.table(spark, sf, "customer"), F.col("c_custkey"), F.lit("a"), F.lit("b"))
     assert tasks(lines) > 1
     assert lines.count() == 2 * queries.table(spark, sf, "customer").count()
+
+
+def test_a_value_is_made_once_however_often_it_is_used(spark):
+    plan = lambda c: spark.createDataFrame([("", "")], "a string, b string").select(c)._jdf.queryExecution().analyzed().toString()
+    assert plan(multispan._pieces(F.col("a"), "x", "y", F.lit(0))).count("regexp_extract_all") == 1
+    assert plan(metrics.leak_numeric(F.col("a"), F.col("b"))).count("[^0-9]") == 1
+
+
+def test_longest_window_is_that_of_all_windows(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("12") for _ in range(rng.randrange(9))), " ".join("".join(rng.choice("12") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(3)))) for _ in range(300)]
+
+    def window(core, field):
+        best = ""
+        for run in field.split():
+            parts = [core[i : i + n] for n in range(len(core), 0, -1) for i in range(len(core) - n + 1) if core[i : i + n] in run]
+            if parts and (parts[0] == core or len(parts[0]) >= metrics.RUN_SHARE * len(run)) and len(parts[0]) > len(best):
+                best = parts[0]
+        return best
+
+    got = spark.createDataFrame(rows, "core string, field string").select("core", "field", metrics.longest_window(F.col("core"), F.col("field")).alias("w")).collect()
+    assert all(r.w == window(r.core, r.field) for r in got)
