@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.binding import once
 from maskwright.functions.folds import NUMERIC, digit_core, digit_runs, plain_letters, value_key, words
 
 #: Lengths from which open digits count, and the share of a number that a window must make up.
@@ -122,27 +123,40 @@ def precision_by_type(masks: DataFrame, gold: DataFrame, negatives: DataFrame) -
 
 
 def longest_window(core: Column, field: Column) -> Column:
-    """The longest part of core in one number of the field that is what is left of it: all of core, or RUN_SHARE of the number."""
-    sizes = F.sequence(F.length(core), F.lit(1), F.lit(-1))
-    windows = lambda n: F.transform(F.sequence(F.lit(1), F.length(core) - n + 1), lambda i: F.substring(core, i, n))
+    """The longest part of core in one number of the field that is what is left of it: all of core, or RUN_SHARE of the number.
 
-    def in_run(run: Column) -> Column:
-        best = F.aggregate(sizes, F.lit(""), lambda acc, n: F.when(acc != "", acc).otherwise(F.coalesce(F.try_element_at(F.filter(windows(n), lambda w: F.contains(run, w)), F.lit(1)), F.lit(""))))
-        return F.when((best == core) | (F.length(best) >= RUN_SHARE * F.length(run)), best).otherwise("")
+    In a number only lengths are tried that can be in it and count: no longer than the number, and no
+    shorter than its share, but for all of core.
+    """
+    def of(both: Column) -> Column:
+        core, field = both["core"], both["field"]
+        windows = lambda n: F.transform(F.sequence(F.lit(1), F.length(core) - n + 1), lambda i: F.substring(core, i, n))
+
+        def in_run(run: Column) -> Column:
+            most, least = F.least(F.length(core), F.length(run)), F.greatest(F.lit(1), F.ceil(RUN_SHARE * F.length(run)).cast("int"))
+            sizes = F.when(most >= least, F.sequence(most, F.least(most, least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+            part = F.aggregate(sizes, F.lit(""), lambda acc, n: F.when(acc != "", acc).otherwise(F.coalesce(F.try_element_at(F.filter(windows(n), lambda w: F.contains(run, w)), F.lit(1)), F.lit(""))))
+            return F.when(F.contains(run, core), core).otherwise(part)
+
+        found = F.transform(F.split(field, " "), in_run)
+        pick = F.aggregate(found, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
+        return F.when((core == "") | (field == ""), F.lit("")).otherwise(pick)
 
-    found = F.transform(F.split(field, " "), in_run)
-    pick = F.aggregate(found, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    return F.when((core == "") | (field == ""), F.lit("")).otherwise(pick)
+    return once(F.struct(core.alias("core"), field.alias("field")), of)
 
 
 def leak_numeric(text: Column, anonymous: Column) -> Column:
     """struct<status, fragment, threshold>: how much of a number is still to be read; thresholds shrink with short numbers."""
-    core = digit_core(text)
-    window = longest_window(core, digit_runs(anonymous))
-    soft, strict = F.least(F.lit(SOFT), F.length(core)), F.least(F.lit(STRICT), F.length(core))
-    leaked = (core != "") & (F.length(window) >= soft)
-    status = F.when(~leaked, "none").when(window == core, "full").otherwise("partial")
-    return F.struct(status.alias("status"), F.when(leaked, window).alias("fragment"), F.when(leaked, F.when(F.length(window) >= strict, strict).otherwise(soft)).alias("threshold"))
+
+    def of(both: Column) -> Column:
+        core, window = both["core"], both["window"]
+        soft, strict = F.least(F.lit(SOFT), F.length(core)), F.least(F.lit(STRICT), F.length(core))
+        leaked = (core != "") & (F.length(window) >= soft)
+        status = F.when(~leaked, "none").when(window == core, "full").otherwise("partial")
+        return F.struct(status.alias("status"), F.when(leaked, window).alias("fragment"), F.when(leaked, F.when(F.length(window) >= strict, strict).otherwise(soft)).alias("threshold"))
+
+    whole = lambda core: F.struct(core.alias("core"), longest_window(core, digit_runs(anonymous)).alias("window"))
+    return once(once(digit_core(text), whole), of)
 
 
 def leak_words(text: Column, anonymous: Column) -> Column:
