@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.shapes import direction
+from maskwright.plans.groups import dealt
 
 KINDS = ("missed", "false_mask", "boundary", "type")
 
 
 def census(tokened: DataFrame) -> DataFrame:
-    """(entity_type, detector, n): masks by type and detector, with both subtotals and the total (nulls)."""
-    return tokened.cube("entity_type", "detector").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """(entity_type, detector, n, docs): masks by type and detector, with both subtotals and the total (nulls).
+
+    Documents are told apart by flags: a row is the first of its document, of a type in it, of a
+    detector, or of both. So rows are shuffled once, by document, and only counts go into the cube. A
+    null document isn't counted as one.
+    """
+    first = lambda by, order: ((F.row_number().over(Window.partitionBy("doc_id", *by).orderBy(*order)) == 1) & F.col("doc_id").isNotNull()).cast("long")
+    own = dealt(tokened.select("doc_id", "entity_type", "detector"), "doc_id")
+    flags = {"_both": (("entity_type", "detector"), ("doc_id",)), "_type": (("entity_type",), ("detector",)), "_all": ((), ("entity_type", "detector")), "_detector": (("detector",), ("entity_type",))}
+    for name, (by, order) in flags.items():
+        own = own.withColumn(name, first(by, order))
+    counted = own.groupBy("entity_type", "detector").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in flags])
+    docs = F.when(F.grouping_id() == 0, F.sum("_both")).when(F.grouping_id() == 1, F.sum("_type")).when(F.grouping_id() == 2, F.sum("_detector")).otherwise(F.sum("_all"))
+    return counted.cube("entity_type", "detector").agg(F.sum("n").alias("n"), docs.alias("docs"))
 
 
 def metrics(counted: DataFrame) -> DataFrame:
