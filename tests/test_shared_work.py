@@ -57,3 +57,7 @@ def test_longest_window_is_that_of_all_windows(spark):
 
     got = spark.createDataFrame(rows, "core string, field string").select("core", "field", metrics.longest_window(F.col("core"), F.col("field")).alias("w")).collect()
     assert all(r.w == window(r.core, r.field) for r in got)
+
+
+def test_words_of_documents_are_recorded_by_many_tasks(spark, sf):
+    assert tasks(queries.structural_records(spark, sf)) > 1
